@@ -1,0 +1,5 @@
+"""No operator of this library needs a stream.
+
+Every table it serves is landed in full and queried in batch, so nothing is defined
+here: no watermark, no state, no sink.
+"""
