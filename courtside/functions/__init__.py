@@ -1,6 +1,6 @@
 """Column -> Column building blocks; all built-in expressions, no Python UDF."""
 
-from courtside.functions.aggregates import count_true, largest, mean, rows, sd, smallest, total
+from courtside.functions.aggregates import count_true, largest, mean, nested_total, rows, sd, smallest, total
 from courtside.functions.numeric import (
     half_even,
     half_even_2,
@@ -30,6 +30,7 @@ __all__ = [
     "largest",
     "matches",
     "mean",
+    "nested_total",
     "nineties",
     "num",
     "per",

@@ -48,3 +48,15 @@ def count_true(condition: Column, nulls: str = "skip") -> Column:
 
 def rows() -> Column:
     return F.count(F.lit(1))
+
+
+def nested_total(column: str, field: str, nulls: str = "skip") -> Column:
+    """Sum of one field over a row's own array of structs, under the same null rule as :func:`total`."""
+    values = F.transform(column, lambda x: x[field])
+    known = F.filter(values, lambda v: v.isNotNull())
+    summed = F.aggregate(known, F.lit(0.0), lambda a, v: a + v)
+    if nulls == "skip":
+        return F.when(F.size(known) > 0, summed)
+    if nulls == "propagate":
+        return F.when(F.size(known) == F.size(column), summed)
+    raise ValueError(f"nulls must be 'skip' or 'propagate', not {nulls!r}")

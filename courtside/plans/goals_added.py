@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions import in_thousands, mean, nineties, per96, sd, total, whole
+from courtside.functions import in_thousands, mean, nested_total, nineties, per96, sd, total, whole
 from courtside.operators import (
     across,
     arrange,
@@ -42,22 +42,25 @@ def _wide(goals_added: DataFrame, season: int, actions: Sequence[str]) -> DataFr
 
 
 def salary_vs_output(
-    goals_added: DataFrame, season_salaries: DataFrame, season: int, actions: Sequence[str] = ACTIONS
+    goals_added: DataFrame,
+    season_salaries: DataFrame,
+    season: int,
+    actions: Sequence[str] = ACTIONS,
+    ordered: bool = True,
 ) -> DataFrame:
     """Every salaried player's latest salary with the season's goals added, if any; highest base first.
 
+    ``ordered=False`` leaves the sort out, for a filter or summary that does not need it.
+
     The latest release is picked before the join. It depends on the salaries alone and the
     join keeps all of them, so the result is that of picking afterwards, on fewer rows.
     """
     latest = keep_group_max(season_salaries, ["player_id"], "mlspa_release")
     output = _wide(goals_added, season, actions).withColumn("gaddplayer96", per96("gadd_player", "minutes_played"))
-    joined = join_natural(output, latest, how="right")
-    return arrange(
-        joined.withColumns({"salary": in_thousands("base_salary"), "m90s": nineties("minutes_played")}),
-        "-base_salary",
-        "player_id",
-        "team_id",
+    joined = join_natural(output, latest, how="right").withColumns(
+        {"salary": in_thousands("base_salary"), "m90s": nineties("minutes_played")}
     )
+    return arrange(joined, "-base_salary", "player_id", "team_id") if ordered else joined
 
 
 def position_filter(salary_output: DataFrame, position: str) -> DataFrame:
@@ -79,14 +82,18 @@ def goals_added_moments(
     )
 
 
+def _named(rows: DataFrame, players: DataFrame, teams: DataFrame) -> DataFrame:
+    """Add player names and the first four team columns."""
+    named = join_natural(rows, players.select(*PLAYER_COLUMNS), null_keys="never")
+    return join_natural(named, first_four(teams), null_keys="never")
+
+
 def goalkeeper_rows(
     goalkeepers: DataFrame, players: DataFrame, teams: DataFrame, seasons: Sequence[int]
 ) -> DataFrame:
     """Goalkeepers' goals added in long form, a row per action and team, with names and team attributes."""
     chosen = goalkeepers.filter(whole("season_name").isin(list(seasons)))
-    long = unnest_vector(unnest(chosen, "data"), "team_id")
-    named = join_natural(long, players.select(*PLAYER_COLUMNS), null_keys="never")
-    return join_natural(named, first_four(teams), null_keys="never")
+    return _named(unnest_vector(unnest(chosen, "data"), "team_id"), players, teams)
 
 
 def goalkeeper_goals_added(
@@ -97,11 +104,17 @@ def goalkeeper_goals_added(
     where: Column | None = None,
     nulls: str = "skip",
 ) -> DataFrame:
-    """Raw goals added per season and goalkeeper, over the rows ``where`` picks."""
-    long = goalkeeper_rows(goalkeepers, players, teams, seasons)
+    """Raw goals added per season and goalkeeper, over the rows ``where`` picks by player and team.
+
+    The sum over :func:`goalkeeper_rows`. A row's actions are added up inside the row, before the
+    joins, so these see a row per goalkeeper, season and team and not one per action.
+    """
+    chosen = goalkeepers.filter(whole("season_name").isin(list(seasons)) & (F.size("data") > 0))
+    summed = chosen.withColumn("goals_added_raw", nested_total("data", "goals_added_raw", nulls)).drop("data")
+    rows = _named(unnest_vector(summed, "team_id"), players, teams)
     if where is not None:
-        long = long.filter(where)
-    return long.groupBy("season_name", "player_name").agg(total("goals_added_raw", nulls).alias("goals_added_raw"))
+        rows = rows.filter(where)
+    return rows.groupBy("season_name", "player_name").agg(total("goals_added_raw", nulls).alias("goals_added_raw"))
 
 
 def player_goals_added_p96(

@@ -62,7 +62,7 @@ def clean_shots(shots: DataFrame, cuts: Sequence[float] = SHOT_CUTS, lead: tuple
     (post-shot: missing is 0), ``on_target`` says whether post-shot xG was there at all.
     ``lead`` are the positions of the columns that go first (date to player).
     """
-    named = separate(clean_names(shots), "player", ("player", "penalty"), r" \(")
+    named = separate(clean_names(shots), "player", ("player", "penalty"), " (", literal=True)
     typed = named.withColumns(
         {
             "xg": num("x_g"),
@@ -154,11 +154,13 @@ def player_finishing(
     as_points: bool = False,
     tie: str = "subtracted",
     nulls: str = "skip",
+    ordered: bool = True,
 ) -> DataFrame:
     """Per player, squad, country and season: totals against the season's average finishing.
 
-    ``as_points=True`` gives the points of the model: a lower bar for shots, the off-target
-    differences as well, differences in percentage points, worst finisher first.
+    Best finisher first. ``as_points=True`` gives the points of the model: a lower bar for shots,
+    the off-target differences as well, differences in percentage points, worst finisher first.
+    ``ordered=False`` leaves the sort out, for a model or filter that does not need it.
 
     The season averages are summed from the player totals, so the shots are read and shuffled once.
     """
@@ -178,7 +180,8 @@ def player_finishing(
     )
     ppdiff = F.col("added_value_pct") - per("added_value_avg", "shots")
     if not as_points:
-        return arrange(measured.withColumn("added_value_ppdiff", ppdiff), "-added_value_ppdiff", *PLAYER_KEYS)
+        table = measured.withColumn("added_value_ppdiff", ppdiff)
+        return arrange(table, "-added_value_ppdiff", *PLAYER_KEYS) if ordered else table
     points = measured.withColumns(
         {
             "off_target_diff": F.col("miss_target") - F.col("miss_target_avg"),
@@ -190,7 +193,7 @@ def player_finishing(
             "added_value_ppdiff": 100 * ppdiff,
         }
     )
-    return arrange(points, "added_value_ppdiff", *PLAYER_KEYS)
+    return arrange(points, "added_value_ppdiff", *PLAYER_KEYS) if ordered else points
 
 
 def finishing_model(

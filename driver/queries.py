@@ -51,12 +51,13 @@ def paid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def output(spark: SparkSession, sf: str) -> DataFrame:
-    return plans.salary_vs_output(views.player_goals_added(spark, sf), paid(spark, sf), SALARY_SEASON)
+def output(spark: SparkSession, sf: str, ordered: bool = False) -> DataFrame:
+    nested = views.player_goals_added(spark, sf)
+    return plans.salary_vs_output(nested, paid(spark, sf), SALARY_SEASON, ordered=ordered)
 
 
-def points(spark: SparkSession, sf: str) -> DataFrame:
-    return plans.player_finishing(clean(spark, sf), as_points=True)
+def points(spark: SparkSession, sf: str, ordered: bool = False) -> DataFrame:
+    return plans.player_finishing(clean(spark, sf), as_points=True, ordered=ordered)
 
 
 def against(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,7 +339,7 @@ def player_finishing(spark, sf):
 
 
 def player_finishing_points(spark, sf):
-    return _round(points(spark, sf), 2, "xg_sum", "goals_diff")
+    return _round(points(spark, sf, ordered=True), 2, "xg_sum", "goals_diff")
 
 
 def finishing_model(spark, sf):
@@ -400,7 +401,7 @@ def team_wage_bill(spark, sf):
 
 
 def salary_vs_output(spark, sf):
-    joined = output(spark, sf).withColumn("general_position", fn.label("general_position"))
+    joined = output(spark, sf, ordered=True).withColumn("general_position", fn.label("general_position"))
     return _text(joined, "mlspa_release")
 
 
