@@ -49,9 +49,10 @@ def join_natural(
         raise ValueError(f"null_keys must be 'match' or 'never', not {null_keys!r}")
     keys = list(on) if on else natural_keys(left, right)
     taken = set(left.columns) - set(keys)
-    right = right.select(
-        *keys, *[F.col(c).alias(f"{c}{suffix}" if c in taken else c) for c in right.columns if c not in keys]
-    )
+    right = right.select(*keys, *[c for c in right.columns if c not in keys])
+    # Renaming only what needs it: an alias that changes nothing can keep Spark from seeing
+    # that two uses of a table are the same.
+    right = right.withColumnsRenamed({c: f"{c}{suffix}" for c in right.columns if c in taken})
     if null_keys == "never":
         return left.join(right, keys, how).select(
             *[c for c in left.columns], *[c for c in right.columns if c not in keys]

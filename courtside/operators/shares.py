@@ -78,11 +78,13 @@ def add_totals(
     The first column becomes text and holds ``label`` in that row; other text columns
     hold ``filler`` and the rest null. ``ratios`` gives the expressions of columns that
     are not additive: they are computed from the summed columns, or with
-    ``mode="sum_all"`` summed like the others.
+    ``mode="sum_all"`` summed like the others. When ``df`` is an aggregate, the
+    rows and their sums share its shuffle.
     """
     if mode not in ("recompute", "sum_all"):
         raise ValueError(f"mode must be 'recompute' or 'sum_all', not {mode!r}")
     ratios = dict(ratios or {}) if mode == "recompute" else {}
+    df = reuse_point(df)
     first, *others = df.columns
     sums, labels = [], {first: F.lit(label)}
     for c in others:

@@ -12,6 +12,8 @@ def spark():
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="4g",
+        # Plans are read as text in the tests.
+        spark__sql__maxMetadataStringLength="5000",
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark

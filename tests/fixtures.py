@@ -1,0 +1,123 @@
+"""Small made-up input tables with the edge rows the queries must get right."""
+
+import datetime
+
+from courtside.sources import schemas
+
+DAY = datetime.date(2023, 5, 6)
+NEXT = datetime.date(2023, 5, 7)
+
+
+def _shot(player, squad, xg, psxg, outcome, season=2023, date=DAY, country="ENG"):
+    return ("m1", date, squad, "Home", 1, 10, player, xg, psxg, outcome, "12", "Head", country, "M", "1st", season)
+
+
+SHOT_ROWS = [
+    _shot("Ann", "Reds", "0.16", "0.20", "Goal"),
+    _shot("Ann", "Reds", "0.15", "0.15", "Saved"),
+    _shot("Ann (pen)", "Reds", "0.79", "0.90", "Goal"),
+    _shot("Bea", "Reds", "0.08", "", "Off Target"),
+    _shot("Bea (x) (y)", "Blues", "0.03", "0.01", "Saved", country="ESP"),
+    _shot("Cid", "Blues", "0.02", "0.00", "Blocked", country="ESP"),
+    _shot("Cid", "Blues", "", None, None, country="ESP"),
+    _shot("Dot", None, "0.50", "0.60", "Goal", season=2022, date=NEXT, country="ESP"),
+]
+
+
+def shots(spark):
+    return spark.createDataFrame(SHOT_ROWS, schemas.SHOTS)
+
+
+def results(spark):
+    return spark.createDataFrame(
+        [
+            (DAY, "Reds", "Blues", 2, 1),
+            (DAY, "Greens", "Reds", 0, 0),  # Reds play twice that day
+            (NEXT, "Blues", "Greens", 3, 3),
+        ],
+        "date date, home string, away string, home_goals int, away_goals int",
+    )
+
+
+def teams(spark):
+    return spark.createDataFrame(
+        [("t1", "Reds FC", "Reds", "RED", ["mls"]), ("t2", "Blues FC", "Blues", "BLU", ["mls"])], schemas.TEAMS
+    )
+
+
+def players(spark):
+    return spark.createDataFrame(
+        [("p1", "Ann", "USA"), ("p2", "Bea", "CAN"), ("p3", "Cid", None), ("p4", "Dot", "MEX")], schemas.PLAYERS
+    )
+
+
+ACTIONS = ["Dribbling", "Fouling", "Interrupting", "Passing", "Receiving", "Shooting"]
+
+
+def _acts(*values):
+    return [(name, float(v), v / 2, 10) for name, v in zip(ACTIONS, values)]
+
+
+def player_goals_added(spark):
+    return spark.createDataFrame(
+        [
+            ("p1", "t1", "2023", "CB", 960.0, _acts(1, 2, 3, 4, 5, 6)),
+            ("p1", "t2", "2023", "CB", 96.0, _acts(1, 1, 1, 1, 1, 1)),  # two teams in one season
+            ("p2", "t1", "2023", "ST", 0.0, _acts(1, 0, 1, 0, 1, 0)),  # no minutes
+            ("p3", "t1", "2023", "ST", 900.0, []),  # no actions at all
+            ("p4", "t2", "2023", "GK", 900.0, _acts(1, 2, 3, 4, 5)),  # no Shooting
+            ("p1", "t1", "2022", "CB", 900.0, _acts(9, 9, 9, 9, 9, 9)),
+        ],
+        schemas.PLAYER_GOALS_ADDED,
+    )
+
+
+def goalkeeper_goals_added(spark):
+    return spark.createDataFrame(
+        [
+            ("p1", ["t1", "t2"], "2023", 900.0, [("Claiming", 1.5, 0.0, 1), ("Sweeping", None, 0.0, 1)]),
+            ("p2", ["t2"], "2022", 900.0, [("Claiming", 2.0, 0.0, 1), ("Sweeping", 0.5, 0.0, 1)]),
+            ("p2", ["t2"], "2019", 900.0, [("Claiming", 7.0, 0.0, 1)]),
+            ("p3", [], "2023", 900.0, [("Claiming", 9.0, 0.0, 1)]),
+            ("p4", ["t1"], "2023", 900.0, []),
+        ],
+        schemas.GOALKEEPER_GOALS_ADDED,
+    )
+
+
+def team_goals_added(spark):
+    """Two teams, three zones; zone 1 of t1 has no Passing, zone 2 of t2 has a null Passing; zone 31 is none."""
+
+    def acts(passing, others):
+        found = [(n, 1, 0.1, 1, float(others)) for n in ("Fouling", "Receiving", "Dribbling", "Shooting", "Interrupting")]
+        return found if passing == "absent" else [*found, ("Passing", 1, 0.1, 1, passing)]
+
+    return spark.createDataFrame(
+        [
+            ("t1", "2023", 960.0, acts("absent", 1), 1),
+            ("t1", "2023", 960.0, acts(2.0, 1), 2),
+            ("t1", "2023", 960.0, acts(2.0, 2), 3),
+            ("t2", "2023", 960.0, acts(4.0, 1), 1),
+            ("t2", "2023", 960.0, acts(None, 1), 2),
+            ("t2", "2023", 960.0, acts(6.0, 3), 3),
+            ("t2", "2022", 960.0, acts(9.0, 9), 1),
+            ("t1", "2023", 960.0, acts(9.0, 9), 31),
+        ],
+        schemas.TEAM_GOALS_ADDED,
+    )
+
+
+def salaries(spark):
+    early, late = datetime.date(2023, 4, 1), datetime.date(2023, 9, 1)
+    return spark.createDataFrame(
+        [
+            ("p1", "t1", 2023, "D", 100_000.0, 110_000.0, early),
+            ("p1", "t1", 2023, "D", 200_000.0, 210_000.0, late),
+            ("p1", "t2", 2023, "D", 300_000.0, 310_000.0, late),  # tied at the latest release
+            ("p2", "t1", 2023, "F", 65_000.0, 70_000.0, early),
+            ("p3", "t1", 2023, "F", 1_000_000.0, None, late),  # no minutes; no guaranteed pay given
+            ("p9", "t9", 2023, "F", 50_000.0, 50_000.0, late),  # unknown player and team
+            ("p4", "t2", 2022, "G", 90_000.0, 90_000.0, late),
+        ],
+        schemas.SALARIES,
+    )

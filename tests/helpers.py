@@ -1,5 +1,7 @@
 """Small helpers shared by the tests."""
 
+import re
+
 
 def rows(df):
     """Rows as tuples in a fixed order, nulls last."""
@@ -7,9 +9,14 @@ def rows(df):
 
 
 def final_plan(df):
-    """The executed plan, after adaptive changes."""
+    """The executed plan with its subqueries, after adaptive changes and without the plans they replaced."""
     df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    # A subquery has its own initial plan inside the final one; cut at the last outermost marker.
-    marker = "\n+- == Initial Plan =="
-    return text.split(marker)[0] if marker in text else text
+    kept, skip = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = re.match(r"[ :|]*", line).end()
+        if skip is not None and depth > skip:
+            continue
+        skip = depth if "== Initial Plan ==" in line else None
+        if skip is None:
+            kept.append(line)
+    return "\n".join(kept)
