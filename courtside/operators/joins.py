@@ -74,7 +74,8 @@ def with_group_stats(df: DataFrame, by: Sequence[str], stats: dict[str, Column])
     """Add group aggregates to each row.
 
     An aggregate joined back rather than a window: partial sums shrink a hot group
-    before the shuffle, and no task has to hold a whole group.
+    before the shuffle, and no task has to hold a whole group. Reads ``df`` twice, once for
+    the columns of the aggregates only.
     """
     grouped = df.groupBy(*by).agg(*[c.alias(name) for name, c in stats.items()])
     return join_natural(df, grouped, on=by, null_keys="match")

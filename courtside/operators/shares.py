@@ -16,9 +16,10 @@ from courtside.operators.reuse import reuse_point
 TOTAL = "Total"
 FILLER = "-"
 
-# Steps of the running share over values between 0 and 1; bounds the rows that the one
-# unpartitioned window sees to SHARE_STEPS + 1.
-SHARE_STEPS = 1000
+# Steps of the running share over values between 0 and 1. Many, so that a step stays small even
+# where values crowd; few enough that the one task which accumulates over the steps sees at most
+# SHARE_STEPS + 1 rows.
+SHARE_STEPS = 100_000
 
 
 def share_of_total(df: DataFrame, weight: str, name: str) -> DataFrame:
@@ -45,7 +46,8 @@ def running_share(
 
     In two levels, since one window over all rows would put them into one task: ``step``
     maps ``order`` to few, equally ordered steps; each step's sum is accumulated over the steps
-    and the rows are accumulated within theirs. ``order`` must not repeat.
+    and the rows are accumulated within theirs. ``order`` must not repeat, and ``step``
+    must not be null.
     """
     rows = reuse_point(df.withColumn("__step", step(F.col(order))))
     steps = rows.groupBy("__step").agg(F.sum(weight).alias("__sum"))
@@ -60,7 +62,7 @@ def running_share(
     within = Window.partitionBy("__step").orderBy(F.col(order).asc_nulls_last())
     so_far = F.col("__before") + F.sum(weight).over(within.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        join_natural(rows, steps, on=["__step"], null_keys="match")
+        join_natural(rows, steps, on=["__step"], null_keys="never")
         .withColumn(name, per(so_far, "__grand"))
         .drop("__step", "__before", "__grand")
     )

@@ -60,7 +60,7 @@ def test_share_of_total(spark):
 
 
 def test_running_share_over_values_of_all_kinds(spark):
-    values = [0.0, 0.0004, 0.0005, 0.3, 0.30001, 0.9999, 1.0, 7.5, -2.0, None]
+    values = [0.0, 0.000004, 0.000005, 0.3, 0.3000001, 0.999999, 1.0, 7.5, -2.0, None]
     df = spark.createDataFrame([(x, i + 1) for i, x in enumerate(values)], "x double, n int")
     found = {r.x: r.cdf for r in op.running_share(df, "x", "n", "cdf").collect()}
     running, total = 0, sum(range(1, 11))
