@@ -36,7 +36,6 @@ from courtside.plans.shots import (
 )
 from courtside.plans.zones import (
     team_zone_long,
-    zone_differences,
     zone_goals_against,
     zone_league_average,
     zone_spread,
@@ -79,7 +78,6 @@ __all__ = [
     "team_zone_long",
     "two_sided_results",
     "xg_distribution",
-    "zone_differences",
     "zone_goals_against",
     "zone_league_average",
     "zone_spread",

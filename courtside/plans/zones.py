@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions import mean, per, per96, sd, whole
@@ -49,58 +49,64 @@ def zone_league_average(against: DataFrame, nulls: str = "skip") -> DataFrame:
     )
 
 
-# Measure -> name of its sum, its count.
-_PARTS = {"tgaa_96": ("__sum_96", "__n_96"), "team_goals_added_against": ("__sum_raw", "__n_raw")}
-
-
-def _means(sums: DataFrame, keys: Sequence[str], names: dict[str, str]) -> DataFrame:
-    averages: list[Column] = [
-        per(F.sum(_PARTS[measure][0]), F.sum(_PARTS[measure][1])).alias(name) for measure, name in names.items()
-    ]
-    return sums.groupBy(*keys).agg(*averages)
+def _team_sums(against: DataFrame) -> DataFrame:
+    """Per team and zone: sum and count of both measures. All zone statistics follow from these."""
+    return reuse_point(
+        against.groupBy("team_abbreviation", "zone").agg(
+            F.sum("tgaa_96").alias("sum_96"),
+            F.count("tgaa_96").alias("n_96"),
+            F.sum("team_goals_added_against").alias("sum_raw"),
+            F.count("team_goals_added_against").alias("n_raw"),
+        )
+    )
 
 
-def zone_differences(against: DataFrame) -> DataFrame:
-    """Per team and zone: its mean, the league's mean over the zone's rows, and league minus team.
+def _zone_stats(team_sums: DataFrame) -> DataFrame:
+    """Per zone: league means over the zone's rows, mean and deviation of the teams' differences.
 
-    The league's mean comes from the sums per team and zone, so ``against`` is computed once.
+    The league's mean is one number per zone. So the differences from it deviate as the teams'
+    means do, and their mean is the league's mean less the mean of the teams' means: one
+    aggregation gives both, without joining the league's mean to the teams first.
     """
-    parts = [
-        column
-        for measure, (sum_name, n_name) in _PARTS.items()
-        for column in (F.sum(measure).alias(sum_name), F.count(measure).alias(n_name))
-    ]
-    sums = reuse_point(against.groupBy("team_abbreviation", "zone").agg(*parts))
-    team = sums.select(
-        "team_abbreviation",
-        "zone",
-        per("__sum_96", "__n_96").alias("avg_gaa_96"),
-        per("__sum_raw", "__n_raw").alias("avg_gaa"),
+    team_mean = per("sum_raw", "n_raw")
+    stats = team_sums.groupBy("zone").agg(
+        per(F.sum("sum_96"), F.sum("n_96")).alias("lg_avg_gaa_96"),
+        per(F.sum("sum_raw"), F.sum("n_raw")).alias("lg_avg_gaa"),
+        mean(team_mean).alias("mean_of_teams"),
+        sd(team_mean).alias("sd_gaa"),
     )
-    league = _means(sums, ["zone"], {"tgaa_96": "lg_avg_gaa_96", "team_goals_added_against": "lg_avg_gaa"})
-    return join_natural(team, league, on=["zone"]).withColumns(
-        {
-            "gaa_vs_lg_avg": F.col("lg_avg_gaa") - F.col("avg_gaa"),
-            "gvla_96": F.col("lg_avg_gaa_96") - F.col("avg_gaa_96"),
-        }
-    )
-
-
-def _spread(differences: DataFrame) -> DataFrame:
-    return differences.groupBy("zone").agg(
-        mean("gaa_vs_lg_avg").alias("mean_gaa"), sd("gaa_vs_lg_avg").alias("sd_gaa")
+    return stats.select(
+        "zone",
+        "lg_avg_gaa_96",
+        "lg_avg_gaa",
+        (F.col("lg_avg_gaa") - F.col("mean_of_teams")).alias("mean_gaa"),
+        "sd_gaa",
     )
 
 
 def zone_spread(against: DataFrame) -> DataFrame:
     """Per zone: mean and standard deviation of the teams' differences from the league."""
-    return _spread(zone_differences(against))
+    return _zone_stats(_team_sums(against)).select("zone", "mean_gaa", "sd_gaa")
 
 
 def zone_zscores(against: DataFrame, team: str | None = None) -> DataFrame:
-    """:func:`zone_differences` with each zone's spread and the team's z-score; all teams or one."""
-    differences = reuse_point(zone_differences(against))
-    scored = join_natural(differences, _spread(differences), on=["zone"]).withColumn(
-        "sd_above_mean", per(F.col("gaa_vs_lg_avg") - F.col("mean_gaa"), "sd_gaa")
+    """Per team and zone: its means, the league's, the differences, the zone's spread and the z-score.
+
+    All teams or one. ``against`` is computed once: the zone's statistics come from the sums per team.
+    """
+    sums = _team_sums(against)
+    teams = sums.select(
+        "team_abbreviation",
+        "zone",
+        per("sum_96", "n_96").alias("avg_gaa_96"),
+        per("sum_raw", "n_raw").alias("avg_gaa"),
+    )
+    if team is not None:
+        teams = teams.filter(F.col("team_abbreviation") == team)
+    compared = join_natural(teams, _zone_stats(sums), on=["zone"]).withColumns(
+        {
+            "gaa_vs_lg_avg": F.col("lg_avg_gaa") - F.col("avg_gaa"),
+            "gvla_96": F.col("lg_avg_gaa_96") - F.col("avg_gaa_96"),
+        }
     )
-    return scored if team is None else scored.filter(F.col("team_abbreviation") == team)
+    return compared.withColumn("sd_above_mean", per(F.col("gaa_vs_lg_avg") - F.col("mean_gaa"), "sd_gaa"))

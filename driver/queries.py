@@ -311,6 +311,12 @@ def log10_salary(spark, sf):
     return _round(plans.log_salary(salaries).select("player_id", "salary", "log10_salary"), 6, "log10_salary")
 
 
+def clock_time(spark, sf):
+    """Order days as local times with a zone, read back as seconds since 1970 in UTC."""
+    told = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" EST"))
+    return orders(spark, sf).select("o_orderkey", F.unix_seconds(fn.clock_time(told)).alias("seconds"))
+
+
 # --- composites ----------------------------------------------------------------------------
 
 
@@ -525,6 +531,7 @@ VERBS: list[Query] = [
     half_even_round,
     label_concat,
     log10_salary,
+    clock_time,
 ]
 
 COMPOSITES: list[Query] = [

@@ -138,7 +138,7 @@ def test_league_average_counts_rows_not_teams(against):
     doubled = against.unionByName(against.filter("team_abbreviation = 'BLU' AND zone = 1"))
     plain = {r.zone: r for r in plans.zone_league_average(doubled).collect()}
     assert plain[1].lg_avg_gaa == pytest.approx((4 + 8 + 8) / 3)
-    differences = {(r.team_abbreviation, r.zone): r for r in plans.zone_differences(doubled).collect()}
+    differences = {(r.team_abbreviation, r.zone): r for r in plans.zone_zscores(doubled).collect()}
     assert differences[("RED", 1)].lg_avg_gaa == pytest.approx(plain[1].lg_avg_gaa)
     assert differences[("BLU", 1)].avg_gaa == 8.0
 

@@ -114,3 +114,36 @@ def test_stage_writes_to_the_checkpoint_folder(spark):
     assert rows(staged) == rows(df)
     assert spark.sparkContext.getCheckpointDir() is not None
     assert "Range" not in staged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stage_uses_the_folder_the_session_names():
+    from courtside.operators import reuse
+
+    chosen = []
+
+    class Context:
+        master = "spark://cluster"
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, folder):
+            chosen.append(folder)
+
+    class Session:
+        sparkContext = Context()
+
+        def __init__(self, **settings):
+            self.conf = settings
+
+    class Frame:
+        def __init__(self, session):
+            self.sparkSession = session
+
+        def checkpoint(self, eager):
+            return self
+
+    reuse.stage(Frame(Session(**{"spark.checkpoint.dir": "shared://folder"})))
+    assert chosen == ["shared://folder"]
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        reuse.stage(Frame(Session()))
