@@ -34,5 +34,8 @@ def matches(x: Column | str, pattern: str) -> Column:
 
 
 def clock_time(x: Column | str) -> Column:
-    """``2024-01-27 09:20:00 EST`` to a timestamp; the zone in the text counts."""
+    """``2024-01-27 09:20:00 EST`` to a timestamp; the zone in the text counts.
+
+    A zone's short name stands for its region, so a summer day under ``EST`` gets summer time.
+    """
     return F.try_to_timestamp(_col(x), F.lit("yyyy-MM-dd HH:mm:ss z"))

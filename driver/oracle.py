@@ -293,8 +293,8 @@ ORACLE: dict[str, str] = {
     "outcome_counts": f"""WITH {SHOTS} SELECT squad, season_end_year, count(*) AS shots, {XG_SUM} AS xg_sum, {GOALS} AS goals,
         {MISSED} AS miss_target, {LESS} AS subtr_value, {SAME} AS equal_value, {MORE} AS added_value
       FROM shots GROUP BY squad, season_end_year""",
-    "mean_sd_by_key": """SELECT CAST(year(o_orderdate) AS INTEGER) AS season, round(avg(o_totalprice), 4) AS mean_price,
-        round(stddev_samp(o_totalprice), 4) AS sd_price FROM orders GROUP BY 1""",
+    "mean_sd_by_key": """SELECT CAST(year(o_orderdate) AS INTEGER) AS season, round(avg(o_totalprice), 6) AS mean_price,
+        round(stddev_samp(o_totalprice), 6) AS sd_price FROM orders GROUP BY 1""",
     "min_max": f"WITH {CLEAN} SELECT shot_class, min(xg) AS xg_min, max(xg) AS xg_max FROM clean GROUP BY shot_class",
     "totals_row": f"""WITH {SHOTS}, c AS (
         SELECT season_end_year, country, count(*) AS shots, {GOALS} AS goals FROM shots GROUP BY ALL)
@@ -334,8 +334,8 @@ ORACLE: dict[str, str] = {
         count(*) AS n FROM orders""",
     "ols_residuals": """WITH m AS (SELECT regr_intercept(o_totalprice, o_custkey) AS a,
         regr_slope(o_totalprice, o_custkey) AS b FROM orders)
-      SELECT o_orderkey, o_custkey, o_totalprice, round(a + b * o_custkey, 4) AS fitted,
-        round(o_totalprice - (a + b * o_custkey), 4) AS residual FROM orders, m""",
+      SELECT o_orderkey, o_custkey, o_totalprice, round(a + b * o_custkey, 2) AS fitted,
+        round(o_totalprice - (a + b * o_custkey), 2) AS residual FROM orders, m""",
     "per96": f"""WITH {ZONES} SELECT team_id, zone, action_type,
         96 * goals_added_against / NULLIF(minutes, 0) AS against_p96, minutes / 90 AS m90s FROM zones""",
     "half_even_round": """SELECT l_orderkey, l_linenumber, round_even(l_quantity / 2, 0) AS half_quantity,
@@ -346,7 +346,7 @@ ORACLE: dict[str, str] = {
         squad || ' - ' || season_end_year AS label FROM shots""",
     "log10_salary": f"""WITH {SALARIES} SELECT player_id, base_salary / 1000 AS salary,
         round(log10(base_salary / 1000), 6) AS log10_salary FROM salaries""",
-    "clock_time": "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + 5 * 3600 AS seconds FROM orders",
+    "clock_time": "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) - 9 * 3600 AS seconds FROM orders",
     "clean_shots": f"""WITH {CLEAN} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM clean""",
     "shot_class_summary": f"""WITH {CLEAN} SELECT shot_class, count(*) AS n, count(*) / sum(count(*)) OVER () AS pct,
         min(xg) AS xg_min, max(xg) AS xg_max, {MISSED} / count(*) AS miss_target, {LESS} / count(*) AS subtr_value,
@@ -416,8 +416,8 @@ ORACLE: dict[str, str] = {
       SELECT player_id, player_name, CAST(mlspa_release AS VARCHAR) AS mlspa_release, guaranteed_compensation FROM top""",
     "salary_vs_output": f"""WITH {OUTPUT} SELECT * REPLACE (CAST(mlspa_release AS VARCHAR) AS mlspa_release,
         coalesce(general_position, 'NA') AS general_position) FROM output""",
-    "goals_added_moments": f"""WITH {GA_WIDE} SELECT round(avg(gadd_player), 4) AS mean_gadd_player,
-        round(stddev_samp(gadd_player), 4) AS sd_gadd_player FROM ga_wide WHERE season_name = '{SALARY_SEASON}'""",
+    "goals_added_moments": f"""WITH {GA_WIDE} SELECT round(avg(gadd_player), 8) AS mean_gadd_player,
+        round(stddev_samp(gadd_player), 8) AS sd_gadd_player FROM ga_wide WHERE season_name = '{SALARY_SEASON}'""",
     "goalkeeper_rows": f"""WITH {GK}, {PLAYERS}, {TEAMS} SELECT gk.*, player_name, nationality, team_name, team_short_name,
         team_abbreviation FROM gk LEFT JOIN players USING (player_id) LEFT JOIN teams USING (team_id)
       WHERE season_name IN ('1996', '1997', '1998')""",
@@ -461,7 +461,7 @@ ORACLE: dict[str, str] = {
         SELECT rounds.*, par, CAST(round_even(handicap_index * slope / 113 + rating, 0) + pc_coeff AS INTEGER) AS adjusted_par
         FROM rounds JOIN par USING (round_id))
       SELECT *, adjusted_par - par AS course_handicap FROM a""",
-    "salary_bands": f"""WITH {OUTPUT} SELECT salary_band, count(*) AS players, round(avg(gadd_player), 4) AS mean_output,
+    "salary_bands": f"""WITH {OUTPUT} SELECT salary_band, count(*) AS players, round(avg(gadd_player), 8) AS mean_output,
         max(CASE WHEN gadd_player >= 600 THEN 600.0e0 WHEN gadd_player >= 200 THEN 200.0e0
                  WHEN gadd_player >= 50 THEN 50.0e0 END) AS line_reached
       FROM output JOIN (VALUES ('low', 65, 300), ('middle', 300, 1000), ('high', 1000, 2000)) b(salary_band, low, high)
