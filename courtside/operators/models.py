@@ -26,7 +26,7 @@ def ols(df: DataFrame, y: str, x: str) -> DataFrame:
 def add_fit(df: DataFrame, y: str, x: str) -> DataFrame:
     """Add the fitted value and the residual of ``y ~ x`` to each row.
 
-    The line is a one-value subquery, not a join.
+    The line is a one-value subquery, not a join. Reads ``df`` twice, for the line only ``y`` and ``x``.
     """
     found = _coefficients(y, x)
     line = df.agg(F.struct(found["intercept"].alias("a"), found["slope"].alias("b")).alias("line")).scalar()

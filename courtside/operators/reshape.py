@@ -70,12 +70,11 @@ def pivot_nested(
     """:func:`unnest` followed by :func:`pivot_wider`, inside each row and so without a shuffle.
 
     Equal to the two steps when each row has its own identity, as it has when a row is the
-    parent of its array. Rows with an empty array go, as in :func:`unnest`. A name twice in one
-    array fails the query (Spark's default for map keys).
+    parent of its array. Rows with an empty array go, as in :func:`unnest`. One of the ``names``
+    twice in an array fails the query (Spark's default for map keys); other names do not matter.
     """
-    cells = F.map_from_entries(
-        F.transform(column, lambda x: F.struct(x[names_from], x[values_from]))
-    ).alias("__cells")
+    wanted = F.filter(column, lambda x: x[names_from].isin(list(names)))
+    cells = F.map_from_entries(F.transform(wanted, lambda x: F.struct(x[names_from], x[values_from]))).alias("__cells")
     ids = [c for c in df.columns if c != column]
     nested = df.filter(F.size(column) > 0).select(*ids, cells)
     return nested.select(

@@ -164,7 +164,8 @@ def test_pivot_in_the_row_equals_unnest_then_pivot(spark, fill):
             (2, [("b", 2.0, 9)]),
             (3, []),
             (4, None),
-            (5, [("other", 5.0, 9)]),
+            (5, [("other", 5.0, 9), ("other", 6.0, 9)]),
+            (6, [(None, 5.0, 9), (None, 6.0, 9), ("a", 7.0, 9)]),
         ],
         "id int, data array<struct<n:string,v:double,extra:int>>",
     )
@@ -172,7 +173,14 @@ def test_pivot_in_the_row_equals_unnest_then_pivot(spark, fill):
     long = op.pivot_wider(op.unnest(df, "data").drop("extra"), "n", "v", ["a", "b"], fill)
     assert short.columns == long.columns
     assert rows(short) == rows(long)
-    assert len(rows(short)) == 3
+    assert len(rows(short)) == 4
+
+
+def test_a_name_twice_in_a_row_fails(spark):
+    df = spark.createDataFrame([(1, [("a", 1.0), ("a", 2.0)])], "id int, data array<struct<n:string,v:double>>")
+    with pytest.raises(SparkRuntimeException, match="DUPLICATED_MAP_KEY"):
+        op.pivot_nested(df, "data", "n", "v", ["a", "b"]).collect()
+    assert rows(op.pivot_nested(df, "data", "n", "v", ["b"])) == [(1, None)]
 
 
 def test_two_way_choice_stays_null(spark):
