@@ -2,6 +2,7 @@
 
 from courtside.functions.aggregates import count_true, largest, mean, nested_total, rows, sd, smallest, total
 from courtside.functions.numeric import (
+    as_column,
     half_even,
     half_even_2,
     if_else,
@@ -10,6 +11,7 @@ from courtside.functions.numeric import (
     num,
     per,
     per96,
+    sum_of,
     whole,
 )
 from courtside.functions.shooting import DISTRIBUTION_CUTS, SHOT_CUTS, finishing, scored, shot_class
@@ -18,6 +20,7 @@ from courtside.functions.text import clock_time, decimals, label, matches
 __all__ = [
     "DISTRIBUTION_CUTS",
     "SHOT_CUTS",
+    "as_column",
     "clock_time",
     "count_true",
     "decimals",
@@ -40,6 +43,7 @@ __all__ = [
     "sd",
     "shot_class",
     "smallest",
+    "sum_of",
     "total",
     "whole",
 ]

@@ -7,6 +7,9 @@ under ANSI mode a plain cast or ``/`` would fail the job, so both go through the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,46 +19,52 @@ NINETY = 90
 THOUSAND = 1000
 
 
-def _col(x: Column | str) -> Column:
+def as_column(x: Column | str) -> Column:
+    """A column from its name, or as it is."""
     return F.col(x) if isinstance(x, str) else x
 
 
+def sum_of(names: Sequence[str]) -> Column:
+    """Plain sum of columns, in order: null if one is missing."""
+    return reduce(Column.__add__, [F.col(c) for c in names])
+
+
 def num(x: Column | str) -> Column:
     """Text to double; blank or unparsable text is null."""
-    return _col(x).try_cast("double")
+    return as_column(x).try_cast("double")
 
 
 def whole(x: Column | str) -> Column:
     """Text to int; blank or unparsable text is null."""
-    return _col(x).try_cast("int")
+    return as_column(x).try_cast("int")
 
 
 def per(x: Column | str, y: Column | str) -> Column:
     """``x / y`` as a double, null where ``y`` is zero."""
-    return F.try_divide(_col(x), _col(y))
+    return F.try_divide(as_column(x), as_column(y))
 
 
 def per96(x: Column | str, minutes: Column | str) -> Column:
     """Rate per 96 minutes played."""
-    return per(F.lit(MATCH_MINUTES) * _col(x), minutes)
+    return per(F.lit(MATCH_MINUTES) * as_column(x), minutes)
 
 
 def nineties(minutes: Column | str) -> Column:
-    return _col(minutes) / F.lit(NINETY)
+    return as_column(minutes) / F.lit(NINETY)
 
 
 def in_thousands(x: Column | str) -> Column:
-    return _col(x) / F.lit(THOUSAND)
+    return as_column(x) / F.lit(THOUSAND)
 
 
 def half_even(x: Column | str) -> Column:
     """Round to a whole number, halves to the even neighbour (2.5 -> 2)."""
-    return F.rint(_col(x))
+    return F.rint(as_column(x))
 
 
 def half_even_2(x: Column | str) -> Column:
     """Round to two decimals through :func:`half_even`."""
-    return half_even(_col(x) * F.lit(100)) / F.lit(100)
+    return half_even(as_column(x) * F.lit(100)) / F.lit(100)
 
 
 def if_else(condition: Column, yes: Column, no: Column) -> Column:

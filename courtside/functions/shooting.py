@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from courtside.functions.numeric import _col
+from courtside.functions.numeric import as_column
 
 # xG cut-offs, best class first. The table of shots and the table of
 # xG values use different top cut-offs.
@@ -32,7 +32,7 @@ def shot_class(xg: Column | str, cuts: Sequence[float] = SHOT_CUTS, penalty: Col
     """Label a chance by its xG; a null xG is a poor chance unless it is a penalty."""
     if len(cuts) != len(CHANCES) or list(cuts) != sorted(cuts, reverse=True):
         raise ValueError(f"cuts must be {len(CHANCES)} falling numbers, not {cuts!r}")
-    xg = _col(xg)
+    xg = as_column(xg)
     bands = [(xg >= F.lit(cut), name) for cut, name in zip(cuts, CHANCES)]
     if penalty is not None:
         bands.insert(0, (penalty == 1, PENALTY))
@@ -50,7 +50,7 @@ def finishing(tie: str, xg: Column | str = "xg", psxg: Column | str = "psxg") ->
     """
     if tie not in TIES:
         raise ValueError(f"tie must be one of {TIES}, not {tie!r}")
-    xg, psxg = _col(xg), _col(psxg)
+    xg, psxg = as_column(xg), as_column(psxg)
     on_frame = psxg != 0
     flags = {
         "miss_target": psxg == 0,
@@ -63,4 +63,4 @@ def finishing(tie: str, xg: Column | str = "xg", psxg: Column | str = "psxg") ->
 
 
 def scored(outcome: Column | str = "outcome") -> Column:
-    return _col(outcome) == GOAL
+    return as_column(outcome) == GOAL

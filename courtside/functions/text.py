@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from courtside.functions.numeric import _col
+from courtside.functions.numeric import as_column
 
 # Fixed value: how a missing piece shows in a label.
 MISSING = "NA"
@@ -17,20 +17,20 @@ def label(*parts: Column | str, sep: str = " ") -> Column:
     ``concat`` alone would lose the whole label and ``concat_ws`` would drop the piece.
     Strings name columns; wrap constants in ``F.lit``.
     """
-    pieces = [F.coalesce(_col(p).cast("string"), F.lit(MISSING)) for p in parts]
+    pieces = [F.coalesce(as_column(p).cast("string"), F.lit(MISSING)) for p in parts]
     return F.concat_ws(sep, *pieces)
 
 
 def decimals(x: Column | str, digits: int) -> Column:
     """A number as text, rounded half-even to ``digits`` and without trailing zeros."""
-    rounded = F.bround(_col(x), digits) + F.lit(0.0)
+    rounded = F.bround(as_column(x), digits) + F.lit(0.0)
     text = F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"\.?0+$", "")
-    return F.when(_col(x).isNotNull(), text)  # format_string writes a null out as text
+    return F.when(as_column(x).isNotNull(), text)  # format_string writes a null out as text
 
 
 def matches(x: Column | str, pattern: str) -> Column:
     """Regular-expression match anywhere in the text."""
-    return _col(x).rlike(pattern)
+    return as_column(x).rlike(pattern)
 
 
 def clock_time(x: Column | str) -> Column:
@@ -38,4 +38,4 @@ def clock_time(x: Column | str) -> Column:
 
     A zone's short name stands for its region, so a summer day under ``EST`` gets summer time.
     """
-    return F.try_to_timestamp(_col(x), F.lit("yyyy-MM-dd HH:mm:ss z"))
+    return F.try_to_timestamp(as_column(x), F.lit("yyyy-MM-dd HH:mm:ss z"))

@@ -73,10 +73,12 @@ def pivot_nested(
     parent of its array. Rows with an empty array go, as in :func:`unnest`. One of the ``names``
     twice in an array fails the query (Spark's default for map keys); other names do not matter.
     """
-    wanted = F.filter(column, lambda x: x[names_from].isin(list(names)))
-    cells = F.map_from_entries(F.transform(wanted, lambda x: F.struct(x[names_from], x[values_from]))).alias("__cells")
+    # Fields are taken out of the array one by one, so that the scan reads these two alone.
+    labels, values = F.col(f"{column}.{names_from}"), F.col(f"{column}.{values_from}")
+    pairs = F.arrays_zip(labels.alias("label"), values.alias("value"))
+    wanted = F.filter(pairs, lambda pair: pair["label"].isin(list(names)))
     ids = [c for c in df.columns if c != column]
-    nested = df.filter(F.size(column) > 0).select(*ids, cells)
+    nested = df.filter(F.size(labels) > 0).select(*ids, F.map_from_entries(wanted).alias("__cells"))
     return nested.select(
         *ids,
         *[

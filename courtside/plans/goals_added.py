@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions import in_thousands, mean, nested_total, nineties, per96, sd, total, whole
+from courtside.functions import in_thousands, mean, nested_total, nineties, per96, sd, sum_of, total, whole
 from courtside.operators import (
     across,
     arrange,
@@ -26,16 +25,11 @@ ACTIONS = ["Dribbling", "Fouling", "Interrupting", "Passing", "Receiving", "Shoo
 INTERRUPTING = "Interrupting"
 
 
-def _sum_of(names: Sequence[str]) -> Column:
-    """Plain sum of columns: null if one is missing."""
-    return reduce(Column.__add__, [F.col(c) for c in names])
-
-
 def _wide(goals_added: DataFrame, season: int, actions: Sequence[str]) -> DataFrame:
     """One season, one column per action with its raw goals added, their sum, and the sum without interrupting."""
-    one = goals_added.filter(whole("season_name") == season)
+    one = goals_added.filter(F.col("season_name") == str(season))  # text, so the scan can skip row groups
     wide = pivot_nested(one, "data", "action_type", "goals_added_raw", actions)
-    wide = wide.withColumn("gadd_player", _sum_of(actions))
+    wide = wide.withColumn("gadd_player", sum_of(actions))
     return wide.withColumn("gadd_team", F.col("gadd_player") - F.col(INTERRUPTING)).withColumn(
         "season_name", whole("season_name")
     )
@@ -82,6 +76,10 @@ def goals_added_moments(
     )
 
 
+def _in_seasons(seasons: Sequence[int]) -> Column:
+    return F.col("season_name").isin([str(season) for season in seasons])
+
+
 def _named(rows: DataFrame, players: DataFrame, teams: DataFrame) -> DataFrame:
     """Add player names and the first four team columns."""
     named = join_natural(rows, players.select(*PLAYER_COLUMNS), null_keys="never")
@@ -92,7 +90,7 @@ def goalkeeper_rows(
     goalkeepers: DataFrame, players: DataFrame, teams: DataFrame, seasons: Sequence[int]
 ) -> DataFrame:
     """Goalkeepers' goals added in long form, a row per action and team, with names and team attributes."""
-    chosen = goalkeepers.filter(whole("season_name").isin(list(seasons)))
+    chosen = goalkeepers.filter(_in_seasons(seasons))
     return _named(unnest_vector(unnest(chosen, "data"), "team_id"), players, teams)
 
 
@@ -109,7 +107,7 @@ def goalkeeper_goals_added(
     The sum over :func:`goalkeeper_rows`. A row's actions are added up inside the row, before the
     joins, so these see a row per goalkeeper, season and team and not one per action.
     """
-    chosen = goalkeepers.filter(whole("season_name").isin(list(seasons)) & (F.size("data") > 0))
+    chosen = goalkeepers.filter(_in_seasons(seasons) & (F.size("data.goals_added_raw") > 0))
     summed = chosen.withColumn("goals_added_raw", nested_total("data", "goals_added_raw", nulls)).drop("data")
     rows = _named(unnest_vector(summed, "team_id"), players, teams)
     if where is not None:

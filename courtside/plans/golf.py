@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions import half_even
-from courtside.functions.numeric import _col
+from courtside.functions import as_column, half_even
 
 # Fixed value: slope of a course of standard difficulty.
 BASE_SLOPE = 113
@@ -20,7 +19,7 @@ def adjusted_par(
     base_slope: float = BASE_SLOPE,
 ) -> Column:
     """Strokes the index, the course and the day's conditions give, halves rounded to even."""
-    return half_even(_col(handicap_index) * _col(slope) / F.lit(base_slope) + _col(rating)) + _col(pc_coeff)
+    return half_even(as_column(handicap_index) * as_column(slope) / F.lit(base_slope) + as_column(rating)) + as_column(pc_coeff)
 
 
 def course_handicap(rounds: DataFrame, holes: DataFrame, base_slope: float = BASE_SLOPE) -> DataFrame:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions import mean, rows
-from courtside.functions.numeric import _col
+from courtside.functions import as_column, mean, rows
 from courtside.operators import join_natural, keep_group_max, positions, top
 
 PLAYER_COLUMNS = ["player_id", "player_name", "nationality"]
@@ -57,7 +56,7 @@ def label_bands(
         a[2] > b[1] for a, b in zip(ordered, ordered[1:])
     ):
         raise ValueError("bands must be disjoint intervals with low < high")
-    pay, made = _col(salary), _col(output)
+    pay, made = as_column(salary), as_column(output)
     band = F
     for name, low, high in ordered:
         band = band.when((pay >= low) & (pay < high), F.lit(name))

@@ -7,9 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions import mean, per, per96, sd, whole
+from courtside.functions import mean, per, per96, sd, sum_of
 from courtside.operators import join_natural, pivot_nested, pivot_wider, reuse_point, unnest
-from courtside.plans.goals_added import _sum_of
 
 # Pitch zones, and the actions summed against a team, in order.
 ZONES = range(1, 31)
@@ -32,13 +31,13 @@ def zone_goals_against(
     Takes the nested table, which needs no shuffle, or the output of :func:`team_zone_long`.
     The team attributes are joined after the pivot; they follow from ``team_id``.
     """
-    one = team_zones.filter(whole("season_name") == season)
+    one = team_zones.filter(F.col("season_name") == str(season))
     if "data" in team_zones.columns:
         wide = pivot_nested(one, "data", "action_type", AGAINST, actions, fill=0.0)
     else:
         wide = pivot_wider(one.drop(*OTHER_MEASURES), "action_type", AGAINST, actions, fill=0.0)
     named = join_natural(wide, teams.drop("competitions"), on=["team_id"], null_keys="never")
-    summed = named.withColumn("team_goals_added_against", _sum_of(actions))
+    summed = named.withColumn("team_goals_added_against", sum_of(actions))
     return summed.withColumn("tgaa_96", per96("team_goals_added_against", "minutes"))
 
 

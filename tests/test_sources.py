@@ -84,6 +84,29 @@ def test_nested_tables_in_every_format(spark, tmp_path, fmt):
         sources.teams(spark, str(tmp_path), fmt="xls")
 
 
+def test_season_filters_of_the_plans_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "ga")
+    player_goals_added(spark).write.parquet(path)
+    keepers = str(tmp_path / "gk")
+    goalkeeper_goals_added(spark).write.parquet(keepers)
+    moments = plans.goals_added_moments(sources.player_goals_added(spark, path), 2023)
+    assert "EqualTo(season_name,2023)" in final_plan(moments)
+    long = plans.goalkeeper_rows(sources.goalkeeper_goals_added(spark, keepers), players(spark), teams(spark), [2022, 2023])
+    assert "In(season_name, [2022,2023])" in final_plan(long)
+
+
+def test_only_the_needed_fields_of_the_actions_are_read(spark, tmp_path):
+    path = str(tmp_path / "ga")
+    player_goals_added(spark).write.parquet(path)
+    keepers = str(tmp_path / "gk")
+    goalkeeper_goals_added(spark).write.parquet(keepers)
+    moments = plans.goals_added_moments(sources.player_goals_added(spark, path), 2023)
+    fields = "data:array<struct<action_type:string,goals_added_raw:double>>"
+    assert fields in final_plan(moments)
+    summed = plans.goalkeeper_goals_added(sources.goalkeeper_goals_added(spark, keepers), players(spark), teams(spark), [2023])
+    assert "data:array<struct<goals_added_raw:double>>" in final_plan(summed)
+
+
 def test_season_parameters(spark, tmp_path):
     path = str(tmp_path / "ga")
     player_goals_added(spark).write.parquet(path)
