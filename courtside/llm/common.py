@@ -73,7 +73,9 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` words; of the whole where there are fewer."""
+    """A 64-bit hash of each run of ``width`` words; of the whole where there are fewer, none where there are no words."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
     width = min(width, len(hashes))
     out = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for step in range(width):

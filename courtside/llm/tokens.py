@@ -14,6 +14,9 @@ import regex
 WORDWISE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORDWISE_PRETOKENIZERS = ["Split", "ByteLevel"]
 
+#: Letters, digits and marks whose Unicode classes all versions agree on; words with others go through the library.
+SETTLED = regex.compile(r"[\x21-\u036f\u0391-\u03a1\u03a3-\u0481\u048a-\u052f\u2010-\u203a\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
+
 #: Where str.split() and the file's white space differ.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
@@ -21,11 +24,11 @@ ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 class Words(dict):
     """White-space-delimited word to its ids as little-endian 32-bit bytes; emptied when it holds ``most`` words."""
 
-    def __init__(self, spec: dict, most: int = 300_000):
+    def __init__(self, spec: dict, whole, most: int = 300_000):
         import tiktoken
 
         super().__init__()
-        self.most, vocabulary = most, spec["model"]["vocab"]
+        self.whole, self.most, vocabulary = whole, most, spec["model"]["vocab"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         added = {x["id"] for x in spec["added_tokens"]}
         end, alphabet = spec["model"]["end_of_word_suffix"], byte_alphabet()
@@ -40,8 +43,11 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        plain = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        ids = [number for piece in self.pattern.findall(plain) for number in self.merge(piece.encode() + b"\xff")]
+        if SETTLED.fullmatch(word):
+            plain = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+            ids = [number for piece in self.pattern.findall(plain) for number in self.merge(piece.encode() + b"\xff")]
+        else:
+            ids = self.whole.encode(word, add_special_tokens=False).ids
         value = np.array(ids, "<u4").tobytes()
         if len(word) < 100:
             self[word] = value
@@ -70,7 +76,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.words = Words(spec) if wordwise(spec) else None
+        self.words = Words(spec, self.whole) if wordwise(spec) else None
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit bytes."""
