@@ -55,7 +55,18 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class CaselessHashes(WordHashes):
+    """The hash of a word in lower case, looked up by the word as it is written."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
+        return value
+
+
 HASHES = WordHashes()
+CASELESS = CaselessHashes()
 
 
 def words_of(text: str | None) -> list[str]:
@@ -79,8 +90,8 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     width = min(width, len(hashes))
     out = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for step in range(width):
-        out = mix(out * np.uint64(31) + hashes[step : step + len(out)] + np.uint64(step + 1))
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[step : step + len(out)] + np.uint64(1)
+    return mix(out)
 
 
 def signed(values: np.ndarray) -> np.ndarray:
