@@ -39,34 +39,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words. It forgets all when it holds ``most`` words, which bounds its memory."""
+    """64-bit hashes of words, whatever their case. It forgets all when it holds ``most`` words, which bounds its memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = value = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-class CaselessHashes(WordHashes):
-    """The hash of a word in lower case, looked up by the word as it is written."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass"))
-        return value
-
-
+#: One cache per Python worker, shared by all operators.
 HASHES = WordHashes()
-CASELESS = CaselessHashes()
 
 
 def words_of(text: str | None) -> list[str]:

@@ -24,7 +24,7 @@ ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 class Words(dict):
     """White-space-delimited word to its ids as little-endian 32-bit bytes; emptied when it holds ``most`` words."""
 
-    def __init__(self, spec: dict, whole, most: int = 300_000):
+    def __init__(self, spec: dict, whole, most: int = 120_000):
         import tiktoken
 
         super().__init__()
