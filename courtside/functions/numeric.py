@@ -29,9 +29,14 @@ def sum_of(names: Sequence[str]) -> Column:
     return reduce(Column.__add__, [F.col(c) for c in names])
 
 
+# Text that is a number: sign, digits with or without a point, exponent.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def num(x: Column | str) -> Column:
-    """Text to double; blank or unparsable text is null."""
-    return as_column(x).try_cast("double")
+    """Text to double; blank or unparsable text is null, and so is what only Java reads as a number (``1d``, ``NaN``)."""
+    text = as_column(x).cast("string")
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def whole(x: Column | str) -> Column:

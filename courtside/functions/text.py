@@ -24,7 +24,8 @@ def label(*parts: Column | str, sep: str = " ") -> Column:
 def decimals(x: Column | str, digits: int) -> Column:
     """A number as text, rounded half-even to ``digits`` and without trailing zeros."""
     rounded = F.bround(as_column(x), digits) + F.lit(0.0)
-    text = F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"\.?0+$", "")
+    text = F.regexp_replace(F.format_string(f"%.{digits}f", rounded), r"(\.\d*?)0+$", "$1")
+    text = F.regexp_replace(text, r"\.$", "")
     return F.when(as_column(x).isNotNull(), text)  # format_string writes a null out as text
 
 

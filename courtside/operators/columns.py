@@ -19,12 +19,14 @@ def snake(name: str) -> str:
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """Rename every column to snake case; repeats get ``_2``, ``_3``, ..."""
-    seen: dict[str, int] = {}
-    names = []
+    """Rename every column to snake case; repeats get the first free of ``_2``, ``_3``, ..."""
+    names: list[str] = []
     for name in map(snake, df.columns):
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        free, nth = name, 1
+        while free in names:
+            nth += 1
+            free = f"{name}_{nth}"
+        names.append(free)
     return df.toDF(*names)
 
 

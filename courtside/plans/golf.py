@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.functions import as_column, half_even
+from courtside.functions import as_column, half_even, rows, total
 
 # Fixed value: slope of a course of standard difficulty.
 BASE_SLOPE = 113
@@ -22,13 +22,18 @@ def adjusted_par(
     return half_even(as_column(handicap_index) * as_column(slope) / F.lit(base_slope) + as_column(rating)) + as_column(pc_coeff)
 
 
-def course_handicap(rounds: DataFrame, holes: DataFrame, base_slope: float = BASE_SLOPE) -> DataFrame:
-    """Per round with a card: par, adjusted par and course handicap.
+def course_handicap(
+    rounds: DataFrame, holes: DataFrame, base_slope: float = BASE_SLOPE, nulls: str = "propagate", how: str = "left"
+) -> DataFrame:
+    """Per round: holes on its card, par, adjusted par and course handicap.
+
+    A hole without par leaves the round without par and handicap (``nulls="skip"`` sums the others). A round without card
+    stays, without holes, par and handicap; ``how="inner"`` leaves it out.
 
     Pars are summed per round before the join, so holes cross the network as one row per round and task.
     """
-    par = holes.groupBy("round_id").agg(F.sum("par").alias("par"))
-    played = rounds.join(par, ["round_id"]).withColumn(
+    cards = holes.groupBy("round_id").agg(total("par", nulls).alias("par"), rows().alias("holes"))
+    played = rounds.join(cards, ["round_id"], how).withColumn(
         "adjusted_par", adjusted_par("handicap_index", "slope", "rating", "pc_coeff", base_slope).cast("int")
     )
     return played.withColumn("course_handicap", F.col("adjusted_par") - F.col("par"))

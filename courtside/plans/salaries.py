@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions import as_column, mean, rows
-from courtside.operators import join_natural, keep_group_max, positions, top
+from courtside.operators import arrange, join_natural, keep_group_max, positions, top
 
 PLAYER_COLUMNS = ["player_id", "player_name", "nationality"]
 
@@ -17,8 +17,8 @@ PLAYER_COLUMNS = ["player_id", "player_name", "nationality"]
 SALARY_BANDS = [("low", 65, 300), ("middle", 300, 1000), ("high", 1000, 2000)]
 OUTPUT_LINES = [1.82, 3.6, 6.78]
 
-# Fixed value: rows of a wage bill that are shown.
-WAGE_BILL_ROWS = 31
+# The row of players whose pay lies in no band or is missing.
+OUTSIDE = "outside"
 
 
 def first_four(teams: DataFrame) -> DataFrame:
@@ -33,11 +33,12 @@ def season_salaries(salaries: DataFrame, players: DataFrame, teams: DataFrame, s
     return join_natural(named, first_four(teams), null_keys="never")
 
 
-def team_wage_bill(season_salaries: DataFrame, team: str, n: int = WAGE_BILL_ROWS) -> DataFrame:
-    """One team's players by the latest release, best paid first, the first ``n``."""
+def team_wage_bill(season_salaries: DataFrame, team: str, n: int | None = None) -> DataFrame:
+    """One team's players by the latest release, best paid first: all of them, or the first ``n``."""
     roster = season_salaries.filter(F.col("team_abbreviation") == team)
     latest = keep_group_max(roster, ["player_id"], "mlspa_release")
-    return top(latest, n, "-guaranteed_compensation", "player_id")
+    order = ("-guaranteed_compensation", "player_id")
+    return arrange(latest, *order) if n is None else top(latest, n, *order)
 
 
 def label_bands(
@@ -73,10 +74,13 @@ def salary_bands(
     salary: str = "salary",
     output: str = "gadd_player",
 ) -> DataFrame:
-    """Per band of pay: players, mean output, highest mark any of them reaches. Pay outside all bands is left out."""
+    """Per band of pay: players, mean output, highest mark any of them reaches.
+
+    Pay outside all bands, or missing, has the row ``outside``: the players add up to the rows of ``points``.
+    """
     return (
         label_bands(points, bands, lines, salary, output)
-        .filter(F.col("salary_band").isNotNull())
+        .withColumn("salary_band", F.coalesce("salary_band", F.lit(OUTSIDE)))
         .groupBy("salary_band")
         .agg(
             rows().alias("players"),

@@ -18,9 +18,11 @@ AGAINST = "goals_added_against"
 OTHER_MEASURES = ["num_actions_for", "goals_added_for", "num_actions_against"]
 
 
-def team_zone_long(team_goals_added: DataFrame, zones: Iterable[int] = ZONES) -> DataFrame:
-    """A row per team, season, zone and action. One scan; the zones select partitions of the source."""
-    return unnest(team_goals_added.filter(F.col("zone").isin(list(zones))), "data")
+def team_zone_long(team_goals_added: DataFrame, zones: Iterable[int] | None = None) -> DataFrame:
+    """A row per team, season, zone and action, of all zones or those given. One scan; zones select partitions of the source."""
+    if zones is not None:
+        team_goals_added = team_goals_added.filter(F.col("zone").isin(list(zones)))
+    return unnest(team_goals_added, "data")
 
 
 def zone_goals_against(

@@ -115,7 +115,7 @@ def goalkeeper_goals_added(spark: SparkSession, path: str, seasons: Choice = Non
 
 
 def team_goals_added(
-    spark: SparkSession, path: str, zones: Choice = range(1, 31), seasons: Choice = None, fmt: str = "parquet"
+    spark: SparkSession, path: str, zones: Choice = None, seasons: Choice = None, fmt: str = "parquet"
 ) -> DataFrame:
     """A row per team, season and pitch zone with its actions nested; partitioned by zone, one scan for all."""
     return _among(_seasons(_load(spark, path, schemas.TEAM_GOALS_ADDED, fmt), seasons), zone=zones)

@@ -412,7 +412,7 @@ ORACLE: dict[str, str] = {
     "team_wage_bill": f"""WITH {PAID}, top AS (
         SELECT * FROM paid WHERE team_abbreviation = 'N3'
         QUALIFY mlspa_release = max(mlspa_release) OVER (PARTITION BY player_id)
-        ORDER BY guaranteed_compensation DESC, player_id LIMIT 31)
+        ORDER BY guaranteed_compensation DESC, player_id)
       SELECT player_id, player_name, CAST(mlspa_release AS VARCHAR) AS mlspa_release, guaranteed_compensation FROM top""",
     "salary_vs_output": f"""WITH {OUTPUT} SELECT * REPLACE (CAST(mlspa_release AS VARCHAR) AS mlspa_release,
         coalesce(general_position, 'NA') AS general_position) FROM output""",
@@ -452,21 +452,21 @@ ORACLE: dict[str, str] = {
         round((differences.gaa_vs_lg_avg - spread.mean_gaa) / NULLIF(spread.sd_gaa, 0), 6) AS sd_above_mean
       FROM differences LEFT JOIN spread USING (zone)""",
     "course_handicap": """WITH par AS (
-        SELECT l_orderkey AS round_id, CAST(sum(3 + l_linenumber % 3) AS BIGINT) AS par FROM lineitem GROUP BY 1),
+        SELECT l_orderkey AS round_id, CAST(sum(3 + l_linenumber % 3) AS BIGINT) AS par, count(*) AS holes FROM lineitem GROUP BY 1),
       rounds AS (
         SELECT o_orderkey AS round_id, CAST(113 + o_orderkey % 30 AS INTEGER) AS slope,
                CAST(68 + o_custkey % 8 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS rating, CAST(o_orderkey % 4 AS INTEGER) AS pc_coeff,
                CAST(o_custkey % 37 AS DOUBLE) + CAST(0.3 AS DOUBLE) AS handicap_index FROM orders),
       a AS (
-        SELECT rounds.*, par, CAST(round_even(handicap_index * slope / 113 + rating, 0) + pc_coeff AS INTEGER) AS adjusted_par
-        FROM rounds JOIN par USING (round_id))
+        SELECT rounds.*, par, holes, CAST(round_even(handicap_index * slope / 113 + rating, 0) + pc_coeff AS INTEGER) AS adjusted_par
+        FROM rounds LEFT JOIN par USING (round_id))
       SELECT *, adjusted_par - par AS course_handicap FROM a""",
-    "salary_bands": f"""WITH {OUTPUT} SELECT salary_band, count(*) AS players, round(avg(gadd_player), 8) AS mean_output,
+    "salary_bands": f"""WITH {OUTPUT} SELECT coalesce(salary_band, 'outside') AS salary_band, count(*) AS players, round(avg(gadd_player), 8) AS mean_output,
         max(CASE WHEN gadd_player >= 600 THEN 600.0e0 WHEN gadd_player >= 200 THEN 200.0e0
                  WHEN gadd_player >= 50 THEN 50.0e0 END) AS line_reached
-      FROM output JOIN (VALUES ('low', 65, 300), ('middle', 300, 1000), ('high', 1000, 2000)) b(salary_band, low, high)
+      FROM output LEFT JOIN (VALUES ('low', 65, 300), ('middle', 300, 1000), ('high', 1000, 2000)) b(salary_band, low, high)
         ON salary >= low AND salary < high
-      GROUP BY salary_band""",
+      GROUP BY 1""",
     "post_listing": f"""WITH {POSTS} SELECT title, author, CAST(date AS VARCHAR) AS date,
         array_to_string(categories, ',') AS categories FROM posts""",
     "category_counts": f"""WITH {POSTS}, c AS (SELECT title, unnest(list_distinct(categories)) AS category FROM posts)

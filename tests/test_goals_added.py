@@ -172,7 +172,8 @@ def test_salary_bands(spark):
     labelled = plans.label_bands(points).collect()
     assert [r.salary_band for r in labelled] == [None, "low", "low", "middle", "high", None, None]
     assert [r.line_reached for r in labelled] == [6.78, 1.82, None, 6.78, None, None, None]
-    assert rows(plans.salary_bands(points)) == [("high", 1, None, None), ("low", 2, 1.0, 1.82), ("middle", 1, 7.0, 6.78)]
+    banded = [("high", 1, None, None), ("low", 2, 1.0, 1.82), ("middle", 1, 7.0, 6.78), ("outside", 3, pytest.approx(11 / 3), 6.78)]
+    assert rows(plans.salary_bands(points)) == banded
     with pytest.raises(ValueError):
         plans.label_bands(points, bands=[("a", 0, 10), ("b", 5, 20)])
 
