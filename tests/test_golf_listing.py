@@ -17,7 +17,7 @@ def test_course_handicap_golden(spark):
         [("r1", 115, 68.6, 3, 18.3), ("no card", 115, 68.6, 3, 18.3)],
         "round_id string, slope int, rating double, pc_coeff int, handicap_index double",
     )
-    found = plans.course_handicap(rounds, holes).collect()
+    found = plans.course_handicap(rounds, holes, how="inner").collect()
     assert [(r.round_id, r.par, r.adjusted_par, r.course_handicap) for r in found] == [("r1", 72, 90, 18)]
 
 
