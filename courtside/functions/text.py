@@ -10,6 +10,15 @@ from courtside.functions.numeric import as_column
 # Fixed value: how a missing piece shows in a label.
 MISSING = "NA"
 
+# Short names of time zones and their offsets from UTC.
+ZONE_OFFSETS = {
+    "UTC": "+00:00", "GMT": "+00:00", "BST": "+01:00", "CET": "+01:00", "CEST": "+02:00", "EET": "+02:00", "EEST": "+03:00",
+    "AST": "-04:00", "ADT": "-03:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00",
+    "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00", "AKST": "-09:00", "AKDT": "-08:00", "HST": "-10:00", "JST": "+09:00",
+    "KST": "+09:00", "AEST": "+10:00", "AEDT": "+11:00", "NZST": "+12:00", "NZDT": "+13:00",
+}
+CLOCK = "yyyy-MM-dd HH:mm:ss"
+
 
 def label(*parts: Column | str, sep: str = " ") -> Column:
     """Join columns into one text; a missing piece shows as ``NA``.
@@ -37,6 +46,16 @@ def matches(x: Column | str, pattern: str) -> Column:
 def clock_time(x: Column | str) -> Column:
     """``2024-01-27 09:20:00 EST`` to a timestamp; the zone in the text counts.
 
-    A zone's short name stands for its region, so a summer day under ``EST`` gets summer time.
+    A short name is a fixed offset: ``EST`` is five hours behind UTC in summer too. Offsets (``-05:00``) and names of
+    regions (``America/New_York``) are read as well. Text without a zone is in the session's zone; other text is null.
     """
-    return F.try_to_timestamp(as_column(x), F.lit("yyyy-MM-dd HH:mm:ss z"))
+    text = F.trim(as_column(x))
+    offsets = F.create_map(*[F.lit(piece) for pair in ZONE_OFFSETS.items() for piece in pair])
+    offset = F.try_element_at(offsets, F.regexp_extract(text, r" ([A-Z]+)$", 1))
+    fixed = F.concat(F.regexp_replace(text, "[A-Z]+$", ""), offset)
+    return F.coalesce(
+        F.try_to_timestamp(fixed, F.lit(f"{CLOCK} XXX")),
+        F.try_to_timestamp(text, F.lit(f"{CLOCK} XXX")),
+        F.try_to_timestamp(text, F.lit(f"{CLOCK} VV")),
+        F.try_to_timestamp(text, F.lit(CLOCK)),
+    )

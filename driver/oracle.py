@@ -346,7 +346,8 @@ ORACLE: dict[str, str] = {
         squad || ' - ' || season_end_year AS label FROM shots""",
     "log10_salary": f"""WITH {SALARIES} SELECT player_id, base_salary / 1000 AS salary,
         round(log10(base_salary / 1000), 6) AS log10_salary FROM salaries""",
-    "clock_time": "SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) - 9 * 3600 AS seconds FROM orders",
+    "clock_time": """SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT)
+        - 3600 * CASE o_orderkey % 4 WHEN 0 THEN 9 WHEN 1 THEN -5 WHEN 2 THEN -4 ELSE 2 END AS seconds FROM orders""",
     "clean_shots": f"""WITH {CLEAN} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM clean""",
     "shot_class_summary": f"""WITH {CLEAN} SELECT shot_class, count(*) AS n, count(*) / sum(count(*)) OVER () AS pct,
         min(xg) AS xg_min, max(xg) AS xg_max, {MISSED} / count(*) AS miss_target, {LESS} / count(*) AS subtr_value,

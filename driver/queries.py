@@ -313,8 +313,9 @@ def log10_salary(spark, sf):
 
 
 def clock_time(spark, sf):
-    """Order days as local times with a zone, read back as seconds since 1970 in UTC."""
-    told = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" JST"))
+    """Order days as local times, in turn with four zones, read back as seconds since 1970 in UTC."""
+    zone = F.element_at(F.array(*[F.lit(z) for z in ("JST", "EST", "EDT", "+02:00")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    told = F.concat_ws(" ", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), zone)
     return orders(spark, sf).select("o_orderkey", F.unix_seconds(fn.clock_time(told)).alias("seconds"))
 
 

@@ -112,9 +112,22 @@ def test_separate_into_three_literal_equals_regex(spark):
 
 
 def test_times_keep_their_zone(spark):
-    df = spark.createDataFrame([("2024-01-27 09:20:00 EST",), ("soon",)], "t string")
+    told = {
+        "2024-01-27 09:20:00 EST": "2024-01-27 14:20:00",
+        "2024-07-27 09:20:00 EST": "2024-07-27 14:20:00",
+        "2024-07-27 09:20:00 EDT": "2024-07-27 13:20:00",
+        "2024-07-27 09:20:00 JST": "2024-07-27 00:20:00",
+        "2024-07-27 09:20:00 +02:00": "2024-07-27 07:20:00",
+        "2024-07-27 09:20:00 America/New_York": "2024-07-27 13:20:00",
+        "2024-07-27 09:20:00": "2024-07-27 09:20:00",
+        "2024-07-27 09:20:00 XQZ": None,
+        "soon": None,
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(x,) for x in told], "t string")
     found = [r[0] for r in df.select(fn.clock_time("t").cast("string")).collect()]
-    assert found == ["2024-01-27 14:20:00", None]
+    assert found == list(told.values())
 
 
 def test_labels_show_missing_pieces(spark):
