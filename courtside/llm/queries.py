@@ -9,7 +9,23 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtside.llm import chat_format, decontaminate, html_extract, near_dedup, packing, quality_fm, quality_rules, substring_dedup, token_counts, toxicity
+from courtside.llm import (
+    chat_format,
+    decontaminate,
+    fill_in_middle,
+    html_extract,
+    importance_sampling,
+    near_dedup,
+    packing,
+    quality_fm,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
+from courtside.llm.oracle import ORACLE
+from courtside.llm.url_filter import Rule
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -95,10 +111,44 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, weighted towards the benchmark's language; a quarter of the long ones drawn."""
+    found = importance_sampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and rearranged, and read back."""
+    return fill_in_middle.fill_in_middle_digests(read(spark, sf_dir, "documents"))
+
+
+#: The query's rules, in the order of the contract.
+URL_RULES = [Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
+#: Words in the names of hosts whose pages make up the query's list of URLs.
+LISTED_WORDS = ["spam", "pills", "bets", "casino", "adult", "ads"]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' URLs judged by the rules, and where none fits by the list of the pages on listed hosts."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.url_verdicts(pages, url_filter.on_listed_hosts(pages, LISTED_WORDS), URL_RULES)
+
+
 QUERIES = {
     query.__name__: shipped(query)
-    for query in (op1_near_dedup, op2_substring_dedup, op3_html_extract, op4_chat_format, op5_toxicity, op6_quality_fm, op7_decontamination, op8_token_counts, op9_quality_rules, op10_packing)
+    for query in (
+        op1_near_dedup,
+        op2_substring_dedup,
+        op3_html_extract,
+        op4_chat_format,
+        op5_toxicity,
+        op6_quality_fm,
+        op7_decontamination,
+        op8_token_counts,
+        op9_quality_rules,
+        op10_packing,
+        op11_importance_sampling,
+        op12_fill_in_middle,
+        op13_url_filter,
+    )
 }
-
-#: Models, packings and links are beyond SQL; their queries are tested against brute force.
-ORACLE: dict[str, str] = {}

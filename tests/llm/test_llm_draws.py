@@ -1,0 +1,211 @@
+"""Resampling, fill-in-the-middle and URL verdicts against plain versions of their definitions."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from llm.llm_fixtures import EDGES, SF, documents, prose
+
+from courtside.llm import fill_in_middle as fim
+from courtside.llm import importance_sampling as sampling
+from courtside.llm import queries
+from courtside.llm import url_filter as urls
+from courtside.llm.url_filter import Rule
+
+LONG = "Zoë 12 " + "x" * 70_000 + " a\u0085b\u3000c" + " y" * 3_000
+
+
+# --- fill in the middle ---------------------------------------------------------------------
+
+
+def plain_fim(text, doc_id):
+    text = text or ""
+    tokens = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", text)
+    digest = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[k : k + 8], 16) for k in (0, 8, 16, 24)]
+    a, b = sorted((h[0] % (len(tokens) + 1), h[1] % (len(tokens) + 1)))
+    p, m, s = "".join(tokens[:a]), "".join(tokens[a:b]), "".join(tokens[b:])
+    if not text or "<P>" in text or "<S>" in text or "<M>" in text or h[2] % 100 >= 50:
+        return len(tokens), "plain", None, None, text
+    form = "spm" if h[3] % 100 < 80 else "psm"
+    return len(tokens), form, len(p), len(m), f"<S>{s}<P>{p}<M>{m}" if form == "spm" else f"<P>{p}<S>{s}<M>{m}"
+
+
+TEXTS = ["a", " a", "a ", "  ", "\n\ta  b\x0b", "<P", "x<", "a <M> b", "no marks <S", "é \u00a0 \U0001f600  z", LONG, "", None]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_cut_equals_the_plain_version(text):
+    for doc_id in [*range(40), None, -3, 2**62]:
+        made = fim.transform(text or "", doc_id)
+        assert tuple(made.values()) == plain_fim(text, doc_id)
+        assert fim.restore(made["output"], made["form"]) == (text or "")
+
+
+def test_wavelet_matrix_counts_and_finds():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 63, 64, 65, 1000):
+        values = r.integers(0, 4, n).astype(np.uint8)
+        matrix = fim.WaveletMatrix(values, 2)
+        for value in range(4):
+            places = np.flatnonzero(values == value)
+            assert [matrix.rank(value, k) for k in range(n + 1)] == [int((places < k).sum()) for k in range(n + 1)]
+            assert [matrix.select(value, k) for k in range(len(places))] == places.tolist()
+
+
+def test_fill_in_middle_rows(spark):
+    rows = [*EDGES, *[(k, t) for k, t in enumerate(TEXTS)], (3, TEXTS[3])]
+    got = [tuple(row) for row in fim.fill_in_middle(documents(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(i, *plain_fim(t, i)) for i, t in rows], key=repr)
+    assert fim.fill_in_middle(documents(spark, [])).count() == 0
+
+
+# --- resampling -----------------------------------------------------------------------------
+
+
+def plain_features(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower)
+    return words, words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+
+
+def plain_resample(docs, target, percent, least, buckets):
+    place = lambda f: zlib.crc32(f.encode()) % buckets
+    source, wanted = Counter(), Counter()
+    for _, text in docs:
+        source.update(map(place, plain_features(text)[1]))
+    for _, text in target:
+        wanted.update(map(place, plain_features(text)[1]))
+    all_s, all_t = sum(source.values()), sum(wanted.values())
+    gain = [math.floor(1000 * math.log((wanted[k] + 1) * (all_s + buckets) / ((source[k] + 1) * (all_t + buckets)))) for k in range(buckets)]
+    out = []
+    for i, text in docs:
+        words, features = plain_features(text)
+        weight = sum(gain[place(f)] for f in features) // len(features) if features else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append([i, len(features), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words)])
+    long = sorted((row for row in out if row[5] >= least), key=lambda row: (-row[3], row[0] is None, row[0]))
+    for rank, row in enumerate(long[: percent * len(long) // 100]):
+        row[4] = rank + 1
+    return sorted(map(tuple, out), key=repr)
+
+
+def test_resample_equals_the_plain_version(spark):
+    docs = [*EDGES, (1000, LONG), *[(k, prose(k % 30, 5 + k % 60)) for k in range(300)]]
+    target = [(k, prose(k, 30)) for k in range(7)] + [(None, None)]
+    for percent, least in ((25, 20), (100, 0), (0, 20)):
+        got = sampling.resample(documents(spark, docs), documents(spark, target), percent, least, 500)
+        expected = plain_resample(docs, target, percent, least, 500)
+        # rows that repeat an id and its score may take each other's rank
+        once = Counter(row[0] for row in expected)
+        assert [r for r in sorted(map(tuple, got.collect()), key=repr) if once[r[0]] == 1] == [r for r in expected if once[r[0]] == 1]
+        assert sorted(r["rank"] for r in got.collect() if r["rank"]) == sorted(r[4] for r in expected if r[4])
+
+
+def test_resample_without_target_or_rows(spark):
+    docs = documents(spark, [(k, prose(k, 30)) for k in range(20)])
+    assert sampling.resample(documents(spark, []), docs).count() == 0
+    assert sampling.resample(docs, documents(spark, [])).where("rank is not null").count() == 5
+
+
+def test_ranks_are_exact_however_keys_crowd(spark):
+    """A third of the rows share the first key, another third the first two."""
+    r = random.Random(5)
+    keys = [(7, r.randrange(50), k) if k % 3 == 0 else (9, 4, k) if k % 3 == 1 else (r.randrange(20), r.randrange(9), k) for k in range(4000)]
+    folder = spark.createDataFrame(r.sample(keys, len(keys)), "a long, b long, c long").repartition(9)
+    table = sampling.stage(folder, "keys")
+    for segments, most in ((1, 4000), (8, 1500), (40, 0), (40, 4000), (40, 3999)):
+        got = {tuple(row)[:3]: row["rank"] for row in sampling.ranked(table, ["a", "b", "c"], most, segments).collect()}
+        assert got == {key: k + 1 if k < most else None for k, key in enumerate(sorted(keys))}
+    cuts = sampling.splitters(table, ["a", "b", "c"], 4000, 40)
+    sizes = Counter(sum(cut <= key for cut in cuts) for key in keys)
+    assert max(sizes.values()) < 2 * 4000 / 40 + 9 * 4
+
+
+# --- URL verdicts ---------------------------------------------------------------------------
+
+RULES = [Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/")]
+
+
+def test_host_and_path(spark):
+    cases = {
+        "http://WWW.Éx.com/A/b?c=/d#e": ("www.Éx.com", "/A/b"),
+        "x://h": ("h", ""), "://h?q=a://b/c": ("h", ""), "http://h#f/g": ("h", ""), "http://h/p#://x": ("h", "/p"), "http:/h": ("", ""), "": ("", ""), None: ("", ""),
+    }
+    df = spark.createDataFrame([(u,) for u in cases], "url string").select("url", urls.host(urls.F.col("url")), urls.path(urls.F.col("url")))
+    assert {row[0]: (row[1], row[2]) for row in df.collect()} == cases
+
+
+def test_canonical(spark):
+    same = ["http://www.a.org/x/?b=2&a=1", "https://A.org:443//x?utm_source=z&a=1&ref=q&b=2#top", "https://m.a.org/x?a=1&b=2&"]
+    other = ["https://a.org/X?a=1&b=2", "https://a.org/x?a=1", "https://b.a.org/x?a=1&b=2", "nothing", None]
+    df = spark.createDataFrame([(u,) for u in same + other], "url string").select("url", urls.canonical(urls.F.col("url")).alias("key"))
+    found = {row["url"]: row["key"] for row in df.collect()}
+    assert {found[u] for u in same} == {"a.org/x?a=1&b=2"}
+    assert "a.org/x?a=1&b=2" not in {found[u] for u in other} and found["nothing"] == found[None] == ""
+
+
+def test_longest_rule_wins(spark):
+    cases = {
+        "http://a.com/": "com/", "http://a.com": None, "http://b.example.com/en/1": "example.com/en/", "http://www.example.com/en/": "www.example.com/en/",
+        "http://x.www.example.com/en/?q": "www.example.com/en/", "http://www.example.com/es/": "com/", "http://example.com:80/en/": None,
+        "http://notexample.com/en/": "com/", "http://net/es/": "net/es/", "http://net.org/es/": None, "": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {row["page_id"]: (row["rule"], row["verdict"]) for row in urls.url_verdicts(rows, rows.limit(0), RULES).collect()}
+    verdict = {rule.text: rule.verdict for rule in RULES} | {None: "allow"}
+    assert got == {k: (rule, verdict[rule]) for k, rule in enumerate(cases.values())}
+
+
+@pytest.mark.parametrize("most_broadcast", [0, 10_000])
+@pytest.mark.parametrize("bits", [1, 16])
+def test_verdicts_are_those_of_the_list(spark, most_broadcast, bits):
+    """Whatever the filter's size; a third of the pages share one listed URL, columns clash with the operator's own."""
+    listed = [(f"http://www.a{k}.org/{k}/",) for k in range(300)] + [(None,), ("no url",), ("http://www.a1.org/1/",)]
+    pages = [(k, "https://a7.org/7" if k % 3 == 0 else f"http://a{k}.org/{k if k % 2 else k + 1}?utm_x=1") for k in range(900)]
+    pages += [(None, None), (5, ""), (5, ""), (6, "http://a1.org/1"), (7, "http://b.net/es/1")]
+    rows = spark.createDataFrame([(*p, 1, 2, "x", "y", 3) for p in pages], "page_id long, url string, key int, block int, words string, found string, listed int")
+    got = urls.url_verdicts(rows, spark.createDataFrame(listed, "url string"), RULES, most_broadcast, bits)
+    on_list = {f"a{k}.org/{k}" for k in range(300)}
+    plain = lambda u: "block" if u and ("net/es" in u or u.split("://")[-1].split("?")[0] in on_list) else "allow"
+    assert sorted(((row["page_id"], row["verdict"]) for row in got.collect()), key=repr) == sorted(((i, plain(u)) for i, u in pages), key=repr)
+    assert urls.url_verdicts(rows.limit(0), rows.select("url"), RULES).count() == 0
+
+
+def test_filter_has_all_keys_and_few_others(spark):
+    keys = spark.range(20_000).selectExpr("concat('k', id) AS key")
+    n_blocks = 20_000 * urls.BITS // 512
+    blocks = urls.bloom_filter(keys.where("key rlike '[02468]$'"), n_blocks // 2)
+    probed = keys.withColumn("block", urls.block_of(urls.F.col("key"), n_blocks // 2)).join(blocks, "block", "left")
+    hits = {row["key"] for row in probed.where(urls.possible(urls.F.col("key"), urls.F.col("words"))).select("key").collect()}
+    assert {f"k{k}" for k in range(0, 20_000, 2)} <= hits
+    assert len(hits) - 10_000 < 100
+
+
+# --- whole tables against SQL ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    expected = con.sql(queries.ORACLE[name])
+    assert sorted(got.columns) == sorted(expected.columns)
+    rows = con.sql(f"SELECT {', '.join(got.columns)} FROM expected").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_resampling_query_equals_the_plain_version(spark):
+    docs, target = ([tuple(row) for row in spark.read.parquet(f"{SF}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    got = queries.QUERIES["op11_importance_sampling"](spark, SF)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_resample(docs, target, 25, 20, 10_000)
