@@ -1,6 +1,7 @@
 """Column -> Column building blocks; all built-in expressions, no Python UDF."""
 
 from courtside.functions.aggregates import count_true, largest, mean, nested_total, rows, sd, smallest, total
+from courtside.functions.distributions import student_t_quantile
 from courtside.functions.numeric import (
     as_column,
     half_even,
@@ -15,7 +16,7 @@ from courtside.functions.numeric import (
     whole,
 )
 from courtside.functions.shooting import DISTRIBUTION_CUTS, SHOT_CUTS, finishing, scored, shot_class
-from courtside.functions.text import clock_time, decimals, label, matches
+from courtside.functions.text import clock_time, decimals, label, matches, number_text
 
 __all__ = [
     "DISTRIBUTION_CUTS",
@@ -36,6 +37,7 @@ __all__ = [
     "nested_total",
     "nineties",
     "num",
+    "number_text",
     "per",
     "per96",
     "rows",
@@ -43,6 +45,7 @@ __all__ = [
     "sd",
     "shot_class",
     "smallest",
+    "student_t_quantile",
     "sum_of",
     "total",
     "whole",

@@ -24,12 +24,46 @@ def label(*parts: Column | str, sep: str = " ") -> Column:
     """Join columns into one text; a missing piece shows as ``NA``.
 
     ``concat`` alone would lose the whole label and ``concat_ws`` would drop the piece.
-    Strings name columns; wrap constants in ``F.lit``.
+    Doubles show as :func:`number_text`. Strings name columns; wrap constants in ``F.lit``.
     """
-    pieces = [F.coalesce(as_column(p).cast("string"), F.lit(MISSING)) for p in parts]
+    pieces = [F.coalesce(_shown(as_column(p)), F.lit(MISSING)) for p in parts]
     return F.concat_ws(sep, *pieces)
 
 
+def _shown(x: Column) -> Column:
+    # the type is known when the query is planned, which leaves one of the two
+    text = x.cast("string")
+    return F.when(F.typeof(x).isin("double", "float"), number_text(text.try_cast("double"))).otherwise(text)
+
+
+def number_text(x: Column | str) -> Column:
+    """A double as text: up to 15 significant digits without trailing zeros, plain or with an exponent, whichever is shorter.
+
+    2.0 is ``2``, 0.1 + 0.2 is ``0.3``, 123456 is ``123456``, 100000 is ``1e+05`` and 0.00001 is ``1e-05``: an exponent is
+    used where the plain form would be longer.
+    """
+    x = as_column(x)
+    shown = F.format_string("%.14e", F.abs(x))
+    digits = F.regexp_replace(F.regexp_replace(F.substring_index(shown, "e", 1), r"\.", ""), "(?<=.)0+$", "")
+    power = F.substring_index(shown, "e", -1).try_cast("int")
+    n = F.length(digits)
+    zeros = lambda k: F.repeat(F.lit("0"), k)
+    decimals = F.greatest(n - 1 - power, F.lit(0))
+    plain_width = F.greatest(power, F.lit(0)) + 1 + F.when(decimals > 0, decimals + 1).otherwise(0)
+    short_width = n + F.when(n > 1, 1).otherwise(0) + F.when(F.abs(power) >= 100, 5).otherwise(4)
+    plain = (
+        F.when(power < 0, F.concat(F.lit("0."), zeros(-1 - power), digits))
+        .when(power >= n - 1, F.concat(digits, zeros(power - n + 1)))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, n)))
+    )
+    mantissa = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(digits)
+    exponent = F.concat(F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    text = F.when(plain_width <= short_width, plain).otherwise(F.concat(mantissa, exponent))
+    signed = F.concat(F.when(x < 0, "-").otherwise(""), text)
+    infinite = F.when(x == float("inf"), "Inf").when(x == float("-inf"), "-Inf")
+    return F.when(x.isNull(), None).when(F.isnan(x), "NaN").otherwise(F.coalesce(infinite, signed))
+
+
 def decimals(x: Column | str, digits: int) -> Column:
     """A number as text, rounded half-even to ``digits`` and without trailing zeros."""
     rounded = F.bround(as_column(x), digits) + F.lit(0.0)

@@ -25,8 +25,8 @@ from courtside.operators.reshape import (
     unnest,
     unnest_vector,
 )
-from courtside.operators.reuse import reuse_point, stage
-from courtside.operators.shares import add_totals, running_share, share_of_total
+from courtside.operators.reuse import reuse_point, shared_folder, stage
+from courtside.operators.shares import add_totals, running_share, share_of_total, totals_by
 
 __all__ = [
     "across",
@@ -48,8 +48,10 @@ __all__ = [
     "running_share",
     "separate",
     "share_of_total",
+    "shared_folder",
     "stage",
     "top",
+    "totals_by",
     "two_sides",
     "union_by_name",
     "unnest",

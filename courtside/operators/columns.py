@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Letters that have no base letter and mark in Unicode, and how they are written without.
+PLAIN_LETTERS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "th", "Þ": "TH", "ı": "i"}
+
+
+def _plain(name: str) -> str:
+    """Letters without their marks: ``Équipe`` -> ``Equipe``."""
+    parts = unicodedata.normalize("NFKD", "".join(PLAIN_LETTERS.get(c, c) for c in name))
+    return "".join(c for c in parts if not unicodedata.combining(c))
+
+
 def snake(name: str) -> str:
-    """One column name in snake case: ``PSxG`` -> ``p_sx_g``, ``Tee Direction`` -> ``tee_direction``."""
-    name = name.replace("%", "_percent_").replace("#", "_number_").replace("'", "")
+    """One column name in snake case: ``PSxG`` -> ``p_sx_g``, ``Tee Direction`` -> ``tee_direction``, ``Équipe`` -> ``equipe``."""
+    name = _plain(name).replace("%", "_percent_").replace("#", "_number_").replace("'", "")
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     name = re.sub(r"([A-Z])([A-Z][a-z])", r"\1_\2", name)
     name = re.sub(r"[^0-9A-Za-z]+", "_", name).strip("_").lower()

@@ -66,26 +66,32 @@ def pivot_nested(
     values_from: str,
     names: Sequence[str],
     fill: float | None = None,
+    duplicates: str = "error",
 ) -> DataFrame:
     """:func:`unnest` followed by :func:`pivot_wider`, inside each row and so without a shuffle.
 
     Equal to the two steps when each row has its own identity, as it has when a row is the
     parent of its array. Rows with an empty array go, as in :func:`unnest`. One of the ``names``
-    twice in an array fails the query (Spark's default for map keys); other names do not matter.
+    twice in an array fails the query, or is summed on request; other names do not matter.
     """
+    if duplicates not in ("error", "sum"):
+        raise ValueError(f"duplicates must be 'error' or 'sum', not {duplicates!r}")
     # Fields are taken out of the array one by one, so that the scan reads these two alone.
     labels, values = F.col(f"{column}.{names_from}"), F.col(f"{column}.{values_from}")
     pairs = F.arrays_zip(labels.alias("label"), values.alias("value"))
-    wanted = F.filter(pairs, lambda pair: pair["label"].isin(list(names)))
+    kind = df.select(F.element_at(values, 1).alias("v")).schema["v"].dataType
+
+    def cell(name: str) -> Column:
+        hits = F.transform(F.filter(pairs, lambda pair: pair["label"] == name), lambda pair: pair["value"])
+        if duplicates == "sum":
+            known = F.filter(hits, lambda v: v.isNotNull())
+            value = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast(kind), lambda total, v: (total + v).cast(kind)))
+        else:
+            value = F.when(F.size(hits) > 1, _clash(name).cast(kind)).otherwise(F.get(hits, F.lit(0)))
+        return _filled(F.size(hits) == 0, value, fill)
+
     ids = [c for c in df.columns if c != column]
-    nested = df.filter(F.size(labels) > 0).select(*ids, F.map_from_entries(wanted).alias("__cells"))
-    return nested.select(
-        *ids,
-        *[
-            _filled(~F.map_contains_key("__cells", name), F.element_at("__cells", F.lit(name)), fill).alias(name)
-            for name in names
-        ],
-    )
+    return df.filter(F.size(labels) > 0).select(*ids, *[cell(name).alias(name) for name in names])
 
 
 def two_sides(df: DataFrame, sides: Sequence[dict[str, Column]]) -> DataFrame:

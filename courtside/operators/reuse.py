@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,20 +20,27 @@ def reuse_point(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which the driver and all executors reach.
+
+    Where it is unset, a local session gets a temporary folder of its own and keeps it; on a cluster that raises.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before staging a table")
+        found = tempfile.mkdtemp(prefix="courtside-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(found)
+    return found
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder now and continue from the files.
 
     For a table that several *actions* share (the cleaned shots, say). The files are
-    replicated storage, so a lost executor loses nothing. The folder is the one the session
-    names in ``spark.checkpoint.dir``; only a local session without one gets a temporary folder.
+    replicated storage, so a lost executor loses nothing.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder before staging a table")
-            folder = tempfile.mkdtemp(prefix="courtside-")
-        sc.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -33,10 +33,16 @@ def two_sided_results(results: DataFrame) -> DataFrame:
     return two_sides(results, [home, away])
 
 
-def shots_with_opponent(shots: DataFrame, two_sided: DataFrame) -> DataFrame:
-    """Shots with the result of the squad's match that day; a squad with two matches gets both."""
+def shots_with_opponent(
+    shots: DataFrame, two_sided: DataFrame, null_keys: str = "never", unique: bool = False
+) -> DataFrame:
+    """Shots with the result of the squad's match that day; a squad with two matches gets both.
+
+    ``unique`` makes the query fail where a squad has two matches on a day; ``null_keys`` as in
+    :func:`~courtside.operators.join_natural`.
+    """
     results = two_sided.withColumnRenamed("team", "squad")
-    return join_natural(shots, results, on=["date", "squad"], null_keys="never")
+    return join_natural(shots, results, on=["date", "squad"], null_keys=null_keys, unique_right=unique)
 
 
 def shots_allowed(

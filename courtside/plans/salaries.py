@@ -26,11 +26,13 @@ def first_four(teams: DataFrame) -> DataFrame:
     return teams.select(*positions(teams, 1, 4))
 
 
-def season_salaries(salaries: DataFrame, players: DataFrame, teams: DataFrame, season: int) -> DataFrame:
+def season_salaries(
+    salaries: DataFrame, players: DataFrame, teams: DataFrame, season: int, null_keys: str = "never"
+) -> DataFrame:
     """One season's salaries, all releases, with player and team attributes."""
     one = salaries.filter(F.col("season_name") == season)
-    named = join_natural(one, players.select(*PLAYER_COLUMNS), null_keys="never")
-    return join_natural(named, first_four(teams), null_keys="never")
+    named = join_natural(one, players.select(*PLAYER_COLUMNS), null_keys=null_keys)
+    return join_natural(named, first_four(teams), null_keys=null_keys)
 
 
 def team_wage_bill(season_salaries: DataFrame, team: str, n: int | None = None) -> DataFrame:

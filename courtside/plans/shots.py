@@ -221,9 +221,11 @@ def finishing_model(
     )
 
 
-def fitted_points(points: DataFrame, y: str = "goals_diff", x: str = "added_value_diff") -> DataFrame:
+def fitted_points(
+    points: DataFrame, y: str = "goals_diff", x: str = "added_value_diff", level: float | None = None
+) -> DataFrame:
     """The points with the fitted line's value and the residual."""
-    return add_fit(points, y, x)
+    return add_fit(points, y, x, level)
 
 
 def highlight_player(points: DataFrame, pattern: str) -> DataFrame:

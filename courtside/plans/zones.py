@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from courtside.functions import mean, per, per96, sd, sum_of
@@ -51,30 +51,38 @@ def zone_league_average(against: DataFrame, nulls: str = "skip") -> DataFrame:
 
 
 def _team_sums(against: DataFrame) -> DataFrame:
-    """Per team and zone: sum and count of both measures. All zone statistics follow from these."""
-    return reuse_point(
-        against.groupBy("team_abbreviation", "zone").agg(
-            F.sum("tgaa_96").alias("sum_96"),
-            F.count("tgaa_96").alias("n_96"),
-            F.sum("team_goals_added_against").alias("sum_raw"),
-            F.count("team_goals_added_against").alias("n_raw"),
-        )
-    )
+    """Per team and zone: sum, count and missing values of both measures. All zone statistics follow from these."""
+    measures = {"96": "tgaa_96", "raw": "team_goals_added_against"}
+    states = []
+    for name, c in measures.items():
+        states += [F.sum(c).alias(f"sum_{name}"), F.count(c).alias(f"n_{name}"), F.count_if(F.col(c).isNull()).alias(f"nulls_{name}")]
+    return reuse_point(against.groupBy("team_abbreviation", "zone").agg(*states))
+
+
+def _team_mean(measure: str, nulls: str) -> Column:
+    """The mean of a team and zone from its state; under ``propagate`` null as soon as one value is missing."""
+    found = per(f"sum_{measure}", f"n_{measure}")
+    return F.when(F.col(f"nulls_{measure}") == 0, found) if nulls == "propagate" else found
 
 
-def _zone_stats(team_sums: DataFrame) -> DataFrame:
+def _zone_stats(team_sums: DataFrame, nulls: str) -> DataFrame:
     """Per zone: league means over the zone's rows, mean and deviation of the teams' differences.
 
     The league's mean is one number per zone. So the differences from it deviate as the teams'
     means do, and their mean is the league's mean less the mean of the teams' means: one
     aggregation gives both, without joining the league's mean to the teams first.
     """
-    team_mean = per("sum_raw", "n_raw")
+
+    def league(measure: str) -> Column:
+        found = per(F.sum(f"sum_{measure}"), F.sum(f"n_{measure}"))
+        return F.when(F.sum(f"nulls_{measure}") == 0, found) if nulls == "propagate" else found
+
+    team_mean = _team_mean("raw", nulls)
     stats = team_sums.groupBy("zone").agg(
-        per(F.sum("sum_96"), F.sum("n_96")).alias("lg_avg_gaa_96"),
-        per(F.sum("sum_raw"), F.sum("n_raw")).alias("lg_avg_gaa"),
-        mean(team_mean).alias("mean_of_teams"),
-        sd(team_mean).alias("sd_gaa"),
+        league("96").alias("lg_avg_gaa_96"),
+        league("raw").alias("lg_avg_gaa"),
+        mean(team_mean, nulls).alias("mean_of_teams"),
+        sd(team_mean, nulls).alias("sd_gaa"),
     )
     return stats.select(
         "zone",
@@ -85,26 +93,36 @@ def _zone_stats(team_sums: DataFrame) -> DataFrame:
     )
 
 
-def zone_spread(against: DataFrame) -> DataFrame:
-    """Per zone: mean and standard deviation of the teams' differences from the league."""
-    return _zone_stats(_team_sums(against)).select("zone", "mean_gaa", "sd_gaa")
+def _known_rule(nulls: str) -> str:
+    if nulls not in ("skip", "propagate"):
+        raise ValueError(f"nulls must be 'skip' or 'propagate', not {nulls!r}")
+    return nulls
+
+
+def zone_spread(against: DataFrame, nulls: str = "skip") -> DataFrame:
+    """Per zone: mean and standard deviation of the teams' differences from the league.
+
+    ``nulls="propagate"`` leaves both missing in a zone where one value is, as :func:`zone_league_average` does.
+    """
+    return _zone_stats(_team_sums(against), _known_rule(nulls)).select("zone", "mean_gaa", "sd_gaa")
 
 
-def zone_zscores(against: DataFrame, team: str | None = None) -> DataFrame:
+def zone_zscores(against: DataFrame, team: str | None = None, nulls: str = "skip") -> DataFrame:
     """Per team and zone: its means, the league's, the differences, the zone's spread and the z-score.
 
-    All teams or one. ``against`` is computed once: the zone's statistics come from the sums per team.
+    All teams or one. ``against`` is computed once: the zone's statistics come from the sums per team. The null rule is
+    that of :func:`zone_spread`.
     """
     sums = _team_sums(against)
     teams = sums.select(
         "team_abbreviation",
         "zone",
-        per("sum_96", "n_96").alias("avg_gaa_96"),
-        per("sum_raw", "n_raw").alias("avg_gaa"),
+        _team_mean("96", _known_rule(nulls)).alias("avg_gaa_96"),
+        _team_mean("raw", nulls).alias("avg_gaa"),
     )
     if team is not None:
         teams = teams.filter(F.col("team_abbreviation") == team)
-    compared = join_natural(teams, _zone_stats(sums), on=["zone"]).withColumns(
+    compared = join_natural(teams, _zone_stats(sums, nulls), on=["zone"]).withColumns(
         {
             "gaa_vs_lg_avg": F.col("lg_avg_gaa") - F.col("avg_gaa"),
             "gvla_96": F.col("lg_avg_gaa_96") - F.col("avg_gaa_96"),

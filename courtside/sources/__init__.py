@@ -2,6 +2,7 @@
 
 from courtside.sources import schemas
 from courtside.sources.readers import (
+    bad_value_counts,
     goalkeeper_goals_added,
     player_goals_added,
     players,
@@ -17,6 +18,7 @@ from courtside.sources.readers import (
 )
 
 __all__ = [
+    "bad_value_counts",
     "goalkeeper_goals_added",
     "player_goals_added",
     "players",

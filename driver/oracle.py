@@ -255,6 +255,50 @@ P96 = ", ".join(
     f"96 * {c} / NULLIF(minutes_played, 0) AS {c}_p96" for c in [*ACTIONS, "goals_added", "ga_team"]
 )
 
+GAP_SHOTS = f"""{SHOTS}, gaps AS (
+  SELECT date, CASE WHEN minute % 13 <> 0 THEN squad END AS squad,
+         CASE WHEN NOT (minute % 11 = 0 AND squad <> 'T1') THEN xg END AS xg,
+         CASE WHEN minute % 7 <> 0 THEN outcome END AS outcome
+  FROM shots
+)"""
+
+GAP_AGAINST = ZONES + f""",
+{TEAMS},
+gap_zones AS (
+  SELECT * REPLACE (
+    CASE WHEN zone % 5 <> 0 OR team_id <> '3' THEN minutes END AS minutes,
+    CASE WHEN NOT (zone % 7 = 0 AND team_id = '4' AND action_type = 'Passing') THEN goals_added_against END AS goals_added_against)
+  FROM zones
+),
+zone_wide AS (
+  SELECT team_id, season_name, minutes, zone, {AGAINST_CELLS} FROM gap_zones
+  WHERE season_name = '{ZONE_SEASON}' GROUP BY team_id, season_name, minutes, zone
+),
+zone_sums AS (SELECT *, {' + '.join(AGAINST_ACTIONS)} AS raw FROM zone_wide),
+against AS (
+  SELECT zone, team_abbreviation, raw, 96 * raw / NULLIF(minutes, 0) AS rate FROM zone_sums LEFT JOIN teams USING (team_id)
+),
+league AS (
+  SELECT zone, CASE WHEN count(rate) = count(*) THEN avg(rate) END AS lg_avg_gaa_96, CASE WHEN count(raw) = count(*) THEN avg(raw) END AS lg_avg_gaa
+  FROM against GROUP BY zone
+),
+team AS (
+  SELECT team_abbreviation, zone, CASE WHEN count(rate) = count(*) THEN avg(rate) END AS avg_gaa_96,
+         CASE WHEN count(raw) = count(*) THEN avg(raw) END AS avg_gaa
+  FROM against GROUP BY team_abbreviation, zone
+),
+differences AS (
+  SELECT *, lg_avg_gaa - avg_gaa AS gaa_vs_lg_avg, lg_avg_gaa_96 - avg_gaa_96 AS gvla_96 FROM team LEFT JOIN league USING (zone)
+),
+spread AS (
+  SELECT zone, CASE WHEN count(gaa_vs_lg_avg) = count(*) THEN avg(gaa_vs_lg_avg) END AS mean_gaa,
+         CASE WHEN count(gaa_vs_lg_avg) = count(*) THEN stddev_samp(gaa_vs_lg_avg) END AS sd_gaa
+  FROM differences GROUP BY zone
+)"""
+
+# Student's quantile for 95 % from the normal one, for many degrees of freedom.
+T95 = "(z + (z^3 + z) / (4 * f) + (5 * z^5 + 16 * z^3 + 3 * z) / (96 * f^2) + (3 * z^7 + 19 * z^5 + 17 * z^3 - 15 * z) / (384 * f^3))"
+
 # --- one statement per query ----------------------------------------------------------------
 
 ORACLE: dict[str, str] = {
@@ -473,4 +517,82 @@ ORACLE: dict[str, str] = {
     "category_counts": f"""WITH {POSTS}, c AS (SELECT title, unnest(list_distinct(categories)) AS category FROM posts)
       SELECT category, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'All', count(*) FROM posts""",
     "category_filter": f"WITH {POSTS} SELECT title, author FROM posts WHERE list_contains(categories, 'fr')",
+    "latest_release_gaps": f"""WITH {SALARIES}, g AS (
+        SELECT player_id, CASE WHEN base_salary > 30000 THEN mlspa_release END AS mlspa_release, base_salary FROM salaries),
+      m AS (SELECT player_id, max(mlspa_release) AS top FROM g GROUP BY player_id HAVING count(mlspa_release) = count(*))
+      SELECT player_id, CAST(mlspa_release AS VARCHAR) AS mlspa_release, base_salary FROM g JOIN m USING (player_id) WHERE mlspa_release = top""",
+    "latest_release_many_ties": f"""WITH {SALARIES} SELECT player_id, season_name, base_salary FROM salaries
+        QUALIFY season_name = max(season_name) OVER (PARTITION BY player_id)""",
+    "price_cdf": """SELECT o_totalprice, count(*) AS n, sum(count(*)) OVER (ORDER BY o_totalprice) / sum(count(*)) OVER () AS cdf
+      FROM orders GROUP BY o_totalprice""",
+    "fit_band": f"""WITH s AS (SELECT regr_intercept(o_totalprice, o_custkey) AS a, regr_slope(o_totalprice, o_custkey) AS b,
+        count(*) AS n, avg(o_custkey) AS m, regr_sxx(o_totalprice, o_custkey) AS sxx FROM orders),
+      r AS (SELECT sum((o_totalprice - a - b * o_custkey) ^ 2) AS sse FROM orders, s),
+      t AS (SELECT *, {T95} * sqrt(sse / f) AS reach FROM (SELECT *, CAST(n - 2 AS DOUBLE) AS f, 1.959963984540054e0 AS z FROM s, r))
+      SELECT o_orderkey, o_custkey, o_totalprice, round(a + b * o_custkey, 2) AS fitted,
+        round(a + b * o_custkey - reach * sqrt(1.0e0 / n + (o_custkey - m) ^ 2 / sxx), 2) AS lower,
+        round(a + b * o_custkey + reach * sqrt(1.0e0 / n + (o_custkey - m) ^ 2 / sxx), 2) AS upper FROM orders, t""",
+    "totals_row_sum_all": f"""WITH {SHOTS}, c AS (
+        SELECT season_end_year, country, count(*) AS shots, {GOALS} AS goals, {GOALS} / count(*) AS pct FROM shots GROUP BY ALL)
+      SELECT CAST(season_end_year AS VARCHAR) AS season_end_year, country, shots, goals, round(pct, 8) AS goal_pct FROM c
+      UNION ALL
+      SELECT 'Total', '-', CAST(sum(shots) AS BIGINT), CAST(sum(goals) AS BIGINT), round(sum(pct), 8) FROM c""",
+    "grouped_totals": f"""WITH {SHOTS}
+      SELECT CAST(season_end_year AS VARCHAR) AS season_end_year, country, count(*) AS shots, {GOALS} AS goals, min(xg) AS xg_min,
+        {GOALS} / count(*) AS goal_pct FROM shots GROUP BY ALL
+      UNION ALL
+      SELECT 'Total', '-', count(*), {GOALS}, min(xg), {GOALS} / count(*) FROM shots""",
+    "pivot_doubled": f"""WITH {GA_WIDE} SELECT player_id, team_id, season_name, general_position, minutes_played,
+        {', '.join(f'2 * {a} AS {a}' for a in ACTIONS)} FROM wide""",
+    "left_unique": f"""WITH {SALARIES}, {PLAYERS} SELECT player_id, base_salary, player_name
+        FROM salaries LEFT JOIN players USING (player_id)""",
+    "gaps_totals": f"""WITH {GAP_SHOTS} SELECT coalesce(squad, 'NA') AS squad, count(*) AS shots,
+        CASE WHEN count(xg) = count(*) THEN {XG_SUM} END AS xg_sum, round(avg(xg), 6) AS xg_mean,
+        CASE WHEN count(xg) = count(*) THEN max(xg) END AS xg_max FROM gaps GROUP BY gaps.squad""",
+    "gaps_on_target": f"""WITH {GAP_SHOTS} SELECT
+        CASE WHEN outcome IN ('Goal', 'Saved') THEN 'On-Target' WHEN outcome IS NULL THEN 'NA' ELSE 'Off-Target' END AS on_target, count(*) AS n
+      FROM gaps GROUP BY 1""",
+    "gaps_null_keys": f"""WITH {GAP_SHOTS}, {RESULTS}, s AS (SELECT date, squad, count(*) AS shots FROM gaps GROUP BY date, squad),
+      h AS (SELECT date, NULLIF(home, 'T2') AS home, away, home_goals, away_goals FROM results),
+      b AS (SELECT date, home AS team, away AS opponent, home_goals AS gf FROM h UNION ALL SELECT date, away, home, away_goals FROM h)
+      SELECT CAST(s.date AS VARCHAR) AS date, coalesce(squad, 'NA') AS squad, shots, coalesce(opponent, 'NA') AS opponent, coalesce(gf, -1) AS gf
+      FROM s LEFT JOIN b ON s.date = b.date AND s.squad IS NOT DISTINCT FROM b.team""",
+    "zone_spread_gaps": f"""WITH {GAP_AGAINST} SELECT zone, round(mean_gaa, 6) + 0.0e0 AS mean_gaa, round(sd_gaa, 6) AS sd_gaa FROM spread""",
+    "zone_zscores_gaps": f"""WITH {GAP_AGAINST} SELECT team_abbreviation, zone, round(avg_gaa_96, 6) AS avg_gaa_96,
+        round(avg_gaa, 6) AS avg_gaa, round(lg_avg_gaa_96, 6) AS lg_avg_gaa_96, round(lg_avg_gaa, 6) AS lg_avg_gaa,
+        round(gaa_vs_lg_avg, 6) + 0.0e0 AS gaa_vs_lg_avg, round(gvla_96, 6) AS gvla_96,
+        round(mean_gaa, 6) + 0.0e0 AS mean_gaa, round(sd_gaa, 6) AS sd_gaa,
+        round((differences.gaa_vs_lg_avg - spread.mean_gaa) / NULLIF(spread.sd_gaa, 0), 6) AS sd_above_mean
+      FROM differences LEFT JOIN spread USING (zone)""",
+    "source_shots": f"""SELECT 'match-' || l_orderkey AS match_url, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS date, 'T' || (l_suppkey // 10) AS squad,
+        CASE WHEN l_linenumber % 2 = 0 THEN 'Home' ELSE 'Away' END AS home_away, CASE WHEN l_quantity <= 25 THEN 1 ELSE 2 END AS match_half,
+        CAST(l_quantity AS INTEGER) AS minute, 'P' || l_suppkey || CASE WHEN l_linenumber = 7 THEN ' (pen)' ELSE '' END AS player,
+        CAST(l_discount AS VARCHAR) AS x_g, CASE l_returnflag WHEN 'R' THEN 'Goal' WHEN 'A' THEN 'Saved' ELSE 'Off Target' END AS outcome,
+        CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS distance,
+        CASE l_linenumber % 3 WHEN 0 THEN 'Head' WHEN 1 THEN 'Left Foot' ELSE 'Right Foot' END AS body_part, l_linestatus AS country,
+        'M' AS gender, '1st' AS tier, CAST(year(l_shipdate) AS INTEGER) AS season_end_year
+      FROM lineitem WHERE l_linestatus = 'O' AND year(l_shipdate) IN (SELECT year(o_orderdate) FROM orders WHERE year(o_orderdate) >= 1996)""",
+    "source_results": f"""WITH {RESULTS} SELECT CAST(date AS VARCHAR) AS date, home, away, home_goals, away_goals, 'USA' AS country, 'M' AS gender,
+        '1st' AS tier, season_end_year FROM results WHERE season_end_year IN (1995, 1996, 1997)""",
+    "source_teams": f"WITH {TEAMS} SELECT * FROM teams",
+    "source_players": f"WITH {PLAYERS} SELECT * FROM players",
+    "source_player_goals_added": f"""WITH {GA} SELECT * FROM ga WHERE CAST(season_name AS INTEGER) IN (
+        SELECT year(o_orderdate) FROM orders WHERE year(o_orderdate) >= 1996)""",
+    "source_goalkeeper_goals_added": f"WITH {GK} SELECT * FROM gk WHERE season_name IN ('1997', '1998')",
+    "source_team_goals_added": f"""WITH {ZONES} SELECT * FROM zones WHERE zone IN (
+        SELECT event_id % 30 + 1 FROM events WHERE event_id < 12)""",
+    "source_salaries": f"""WITH {SALARIES} SELECT * REPLACE (CAST(mlspa_release AS VARCHAR) AS mlspa_release) FROM salaries
+      WHERE season_name IN (1996, 1998)""",
+    "source_rounds": """SELECT CAST(o_orderkey AS VARCHAR) AS round_id, CAST(113 + o_orderkey % 30 AS INTEGER) AS slope,
+        CAST(68 + o_custkey % 8 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS rating, o_orderkey * 3600 + 5 * 3600 AS seconds FROM orders""",
+    "source_posts": f"""WITH {POSTS}, c AS (SELECT title, unnest(list_distinct(categories)) AS category FROM posts)
+      SELECT category, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'All', count(*) FROM posts""",
+    "source_team_passing": f"""WITH {RESULTS}, s AS (SELECT *, unnest([home, away]) AS team FROM results)
+      SELECT team, home AS home_team, away AS away_team,
+        CASE WHEN home_goals = 3 AND away = 'T1' OR home_goals = 4 THEN -1 ELSE season_end_year END AS season_end_year,
+        CASE WHEN home_goals = 3 AND away = 'T1' THEN 1 ELSE 0 END AS bad FROM s""",
+    "source_bad_values": f"""WITH {RESULTS} SELECT 'season_end_year' AS "column", 2 * count(*) AS n, 'n/a' AS example FROM results
+      WHERE home_goals = 3 AND away = 'T1' HAVING count(*) > 0""",
+    "source_scorecards": """SELECT l_linenumber AS hole, l_returnflag AS tee_direction, count(*) AS n, CAST(sum(3 + l_linenumber % 3) AS BIGINT) AS par,
+        CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) AS score FROM lineitem GROUP BY 1, 2""",
 }

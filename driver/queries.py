@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from courtside import functions as fn
 from courtside import operators as op
 from courtside import plans
-from driver import views
+from driver import landing, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -235,7 +235,7 @@ def dev_from_group(spark, sf):
 def group_zscore(spark, sf):
     zones = against(spark, sf).select("team_abbreviation", "zone", "team_goals_added_against")
     x = "team_goals_added_against"
-    stats = op.with_group_stats(zones, ["zone"], {"zone_mean": fn.mean(x), "zone_sd": fn.sd(x)})
+    stats = op.with_group_stats(op.reuse_point(zones), ["zone"], {"zone_mean": fn.mean(x), "zone_sd": fn.sd(x)})
     z = stats.withColumn("z", fn.per(F.col(x) - F.col("zone_mean"), "zone_sd"))
     return _round(z, 6, x, "zone_mean", "zone_sd", "z")
 
@@ -319,6 +319,89 @@ def clock_time(spark, sf):
     return orders(spark, sf).select("o_orderkey", F.unix_seconds(fn.clock_time(told)).alias("seconds"))
 
 
+def latest_release_gaps(spark, sf):
+    """A player with a release whose day is missing has no known latest one."""
+    latest = op.keep_group_max(views.salaries_with_gaps(spark, sf), ["player_id"], "mlspa_release", nulls="propagate")
+    return _text(latest.select("player_id", "mlspa_release", "base_salary"), "mlspa_release")
+
+
+def latest_release_many_ties(spark, sf):
+    """The rank's other form: joined on the player and the latest year."""
+    years = views.salaries(spark, sf).select("player_id", "season_name", "base_salary")
+    return op.keep_group_max(years, ["player_id"], "season_name", ties="many")
+
+
+def price_cdf(spark, sf):
+    """Running share of orders by rising price, which is far outside 0 to 1."""
+    counted = orders(spark, sf).groupBy("o_totalprice").agg(fn.rows().alias("n"))
+    return op.running_share(counted, "o_totalprice", "n", "cdf")
+
+
+def fit_band(spark, sf):
+    fitted = op.add_fit(orders(spark, sf).select("o_orderkey", "o_custkey", "o_totalprice"), "o_totalprice", "o_custkey", 0.95)
+    return _round(fitted.drop("residual"), 2, "fitted", "lower", "upper")
+
+
+def totals_row_sum_all(spark, sf):
+    counted = clean(spark, sf).groupBy("season_end_year", "country").agg(
+        fn.rows().alias("shots"), fn.count_true(fn.scored()).alias("goals")
+    )
+    return _round(op.add_totals(counted.withColumn("goal_pct", fn.per("goals", "shots")), mode="sum_all"), 8, "goal_pct")
+
+
+def grouped_totals(spark, sf):
+    """Groups and their total from one aggregate; the total of a smallest xG is no sum."""
+    measures = {"shots": fn.rows(), "goals": fn.count_true(fn.scored()), "xg_min": fn.smallest("xg")}
+    return op.totals_by(clean(spark, sf), ["season_end_year", "country"], measures, {"goal_pct": fn.per("goals", "shots")})
+
+
+def pivot_doubled(spark, sf):
+    """Every action twice in its row: the cells are sums."""
+    doubled = views.player_goals_added(spark, sf).withColumn("data", F.concat("data", "data"))
+    return op.pivot_nested(doubled, "data", "action_type", "goals_added_raw", plans.goals_added.ACTIONS, duplicates="sum")
+
+
+def left_unique(spark, sf):
+    """Salaries with their player, who must not repeat."""
+    players = views.players(spark, sf).select("player_id", "player_name")
+    return op.join_natural(views.salaries(spark, sf).select("player_id", "base_salary"), players, null_keys="never", unique_right=True)
+
+
+def gaps_totals(spark, sf):
+    """Sums that a missing xG makes missing; the squads that are missing are one group."""
+    summed = views.shots_with_gaps(spark, sf).groupBy("squad").agg(
+        fn.rows().alias("shots"), fn.total("xg", "propagate").alias("xg_sum"), fn.mean("xg", "skip").alias("xg_mean"), fn.largest("xg", "propagate").alias("xg_max")
+    )
+    return _round(_round(summed, 2, "xg_sum"), 6, "xg_mean").withColumn("squad", fn.label("squad"))
+
+
+def gaps_on_target(spark, sf):
+    """A missing outcome is neither on nor off target."""
+    return plans.on_target_by_outcome(views.shots_with_gaps(spark, sf)).withColumn("on_target", fn.label("on_target"))
+
+
+def gaps_null_keys(spark, sf):
+    """Shots per day and squad meet the day's results, a missing squad those of a missing team."""
+    daily = views.shots_with_gaps(spark, sf).groupBy("date", "squad").agg(fn.rows().alias("shots"))
+    results = plans.two_sided_results(views.results_with_gaps(spark, sf))
+    joined = plans.shots_with_opponent(daily, results, null_keys="match").select("date", "squad", "shots", "opponent", "gf")
+    labels = {c: fn.label(c) for c in ("squad", "opponent")}
+    return _text(joined.withColumns(labels | {"gf": F.coalesce("gf", F.lit(-1))}), "date")
+
+
+def against_gaps(spark, sf):
+    return plans.zone_goals_against(views.team_goals_added_with_gaps(spark, sf), views.teams(spark, sf), ZONE_SEASON)
+
+
+def zone_spread_gaps(spark, sf):
+    return _round(plans.zone_spread(against_gaps(spark, sf), nulls="propagate"), 6, "mean_gaa", "sd_gaa")
+
+
+def zone_zscores_gaps(spark, sf):
+    scores = plans.zone_zscores(against_gaps(spark, sf), nulls="propagate")
+    return _round(scores, 6, *[c for c in scores.columns if c not in ("team_abbreviation", "zone")])
+
+
 # --- composites ----------------------------------------------------------------------------
 
 
@@ -534,6 +617,19 @@ VERBS: list[Query] = [
     label_concat,
     log10_salary,
     clock_time,
+    latest_release_gaps,
+    latest_release_many_ties,
+    price_cdf,
+    fit_band,
+    totals_row_sum_all,
+    grouped_totals,
+    pivot_doubled,
+    left_unique,
+    gaps_totals,
+    gaps_on_target,
+    gaps_null_keys,
+    zone_spread_gaps,
+    zone_zscores_gaps,
 ]
 
 COMPOSITES: list[Query] = [
@@ -574,5 +670,5 @@ COMPOSITES: list[Query] = [
     category_filter,
 ]
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in VERBS + COMPOSITES}
+QUERIES: dict[str, Query] = {query.__name__: query for query in [*VERBS, *COMPOSITES, *landing.QUERIES]}
 QUERIES["two_sided"] = two_sided_results

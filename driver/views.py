@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from courtside import plans
+
 # Action names and the driver's event types that stand for them.
 EVENT_ACTIONS = {
     "Dribbling": "event_type = 'click' AND event_id % 2 = 0",
@@ -209,3 +211,32 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_add(DATE '2000-01-01', CAST(n_chars AS int)) AS date",
         "array(lang, source) AS categories",
     )
+
+
+def shots_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned shots of which some miss their squad, xG or outcome."""
+    missing = {"squad": "minute % 13 = 0", "xg": "minute % 11 = 0 AND squad <> 'T1'", "outcome": "minute % 7 = 0"}
+    cleaned = plans.clean_shots_single_league(shots(spark, sf_dir))
+    return cleaned.selectExpr("*").withColumns({c: F.expr(f"CASE WHEN NOT coalesce({rule}, false) THEN {c} END") for c, rule in reversed(missing.items())})
+
+
+def results_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match results of which some do not name the home team."""
+    return results(spark, sf_dir).withColumn("home", F.expr("CASE WHEN home <> 'T2' THEN home END"))
+
+
+def salaries_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Salaries of which some miss the day of their release."""
+    return salaries(spark, sf_dir).withColumn("mlspa_release", F.expr("CASE WHEN base_salary > 30000 THEN mlspa_release END"))
+
+
+def team_goals_added_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of which some miss the minutes, and others the goals added by passing."""
+    hide = "transform(data, a -> named_struct('action_type', a.action_type, 'num_actions_for', a.num_actions_for, 'goals_added_for', a.goals_added_for, 'num_actions_against', a.num_actions_against, 'goals_added_against', CASE WHEN a.action_type <> 'Passing' THEN a.goals_added_against END))"
+    return team_goals_added(spark, sf_dir).selectExpr(
+        "team_id",
+        "season_name",
+        "CASE WHEN zone % 5 <> 0 OR team_id <> '3' THEN minutes END AS minutes",
+        f"CASE WHEN zone % 7 = 0 AND team_id = '4' THEN {hide} ELSE data END AS data",
+        "zone",
+    )

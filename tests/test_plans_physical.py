@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from courtside import functions as fn
 from courtside import operators as op
+from courtside.operators import shares
 from driver.queries import clean, league, points, two_sided
 from driver import views
 from courtside import plans
@@ -60,7 +61,7 @@ def test_sorted_limit_is_a_top_k(spark):
 def test_filters_reach_the_scan(spark):
     shots = views.table(spark, SF, "orders").withColumnRenamed("o_custkey", "player_id")
     kept = op.keep_group_max(shots.filter("player_id = 5"), ["player_id"], "o_orderdate")
-    assert final_plan(kept).count("EqualTo(o_custkey,5)") == 2
+    assert final_plan(kept).count("EqualTo(o_custkey,5)") == 1
 
 
 def test_no_query_joins_without_keys(no_broadcast):
@@ -111,13 +112,81 @@ def test_group_maximum_of_a_hot_group_is_spread(skew_settings):
     spark = skew_settings
     key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000)
     big = spark.range(0, 120_000, numPartitions=16).select(key.alias("k"), (F.col("id") % 1000).alias("release"))
-    kept = op.keep_group_max(big, ["k"], "release")
+    kept = op.keep_group_max(big, ["k"], "release", ties="many")
     assert "hashpartitioning(release" in final_plan(kept) or "release" in final_plan(kept).split("hashpartitioning(")[1]
     top = {r.k: r.m for r in big.groupBy("k").agg(F.max("release").alias("m")).collect()}
     expected = [(r.k, r.release) for r in big.collect() if r.release == top[r.k]]
     assert sorted((r.k, r.release) for r in kept.collect()) == sorted(expected)
 
 
+def test_group_maximum_is_one_scan_and_one_shuffle(spark):
+    found = _counts(entry.queries()["latest_release"](spark, SF))
+    assert found["scans"] == 1 and found["shuffles"] == 1 and "WindowGroupLimit" in found["plan"]
+    # salaries, events, players and teams: each is read once
+    assert _counts(entry.queries()["salary_vs_output"](spark, SF))["scans"] == 4
+    assert _counts(entry.queries()["team_wage_bill"](spark, SF))["scans"] == 3
+
+
+def test_a_hot_group_is_cut_down_before_the_shuffle(spark):
+    """A third of the rows are one group: of each task's rows only its largest leave it."""
+    key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 5000)
+    big = spark.range(0, 120_000, numPartitions=16).select(key.alias("k"), F.xxhash64("id").alias("release"))
+    kept = op.keep_group_max(big, ["k"], "release")
+    plan = kept.select("k", "release")
+    assert plan.filter("k = -1").count() == 1
+    final = final_plan(kept)
+    assert final.count("WindowGroupLimit") == 2 and final.index("WindowGroupLimit") < final.index(" Exchange ") < final.rindex("WindowGroupLimit")
+
+
+def test_grouped_totals_are_one_scan_and_one_shuffle(spark):
+    found = _counts(entry.queries()["grouped_totals"](spark, SF))
+    assert found["scans"] == 1 and found["shuffles"] == 1
+
+
+def test_group_zscore_computes_its_input_once(spark):
+    assert _counts(entry.queries()["group_zscore"](spark, SF))["scans"] == 2  # events and nation
+
+
+def test_running_share_spreads_values_outside_the_unit(spark):
+    df = spark.range(10, 2000).select(F.col("id").alias("x"), F.lit(1).alias("n"))
+    sizes = [r["count"] for r in shares.add_quantile_step(df, "x", "step", 64).groupBy("step").count().collect()]
+    assert len(sizes) > 60 and max(sizes) < 80
+    assert all(abs(r.cdf - (r.x - 9) / 1990) < 1e-12 for r in op.running_share(df, "x", "n", "cdf", steps=64).collect())
+
+
+def test_tables_of_seasons_and_zones_prune_when_the_query_runs(spark):
+    """The partitions come from a filtered table: Spark hands its values to the scan, which opens those alone."""
+    for query, by in (("source_shots", "season_end_year"), ("source_team_goals_added", "zone"), ("source_player_goals_added", "season_name")):
+        found = entry.queries()[query](spark, SF)
+        partitions = found.select(by).distinct().count()
+        plan = final_plan(found)
+        assert "dynamicpruning" in plan, query
+        scans = [node for node in _nodes(found._jdf.queryExecution().executedPlan()) if node.nodeName().startswith("Scan")]
+        read = [node.metrics().apply("numPartitions").value() for node in scans if node.metrics().contains("numPartitions")]
+        assert max(read) == partitions, (query, read)
+
+
+def _nodes(node):
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        node = node.executedPlan()
+    if "QueryStage" in node.nodeName():
+        node = node.plan()
+    yield node
+    children = node.children()
+    for k in range(children.size()):
+        yield from _nodes(children.apply(k))
+
+
+def test_a_checked_join_is_one_job_and_fails_on_a_doubled_key(spark):
+    left = spark.createDataFrame([("Reds", 1, 5)], "squad string, date int, xg int")
+    once = spark.createDataFrame([("Reds", 1, 2), ("Blues", 1, 3)], "squad string, date int, gf int")
+    joined = op.join_natural(left, once, on=["date", "squad"], unique_right=True)
+    assert rows(joined) == [("Reds", 1, 5, 2)]
+    twice = op.join_natural(left, once.union(once), on=["date", "squad"], unique_right=True)
+    with pytest.raises(Exception, match="key is not unique: date=1, squad=Reds"):
+        twice.filter("squad = 'Reds'").collect()
+
+
 def test_results_do_not_depend_on_join_strategy(no_broadcast):
     from oracle_check import connect, difference
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from courtside import functions as fn
 from courtside import operators as op
+from courtside import plans
+from courtside.operators.columns import snake
 from helpers import rows
 
 
@@ -191,9 +193,17 @@ def test_pivot_in_the_row_equals_unnest_then_pivot(spark, fill):
 
 def test_a_name_twice_in_a_row_fails(spark):
     df = spark.createDataFrame([(1, [("a", 1.0), ("a", 2.0)])], "id int, data array<struct<n:string,v:double>>")
-    with pytest.raises(SparkRuntimeException, match="DUPLICATED_MAP_KEY"):
-        op.pivot_nested(df, "data", "n", "v", ["a", "b"]).collect()
+    for policy in ("EXCEPTION", "LAST_WIN"):
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", policy)
+        try:
+            with pytest.raises(SparkRuntimeException, match="more than one value for 'a'"):
+                op.pivot_nested(df, "data", "n", "v", ["a", "b"]).collect()
+        finally:
+            spark.conf.unset("spark.sql.mapKeyDedupPolicy")
     assert rows(op.pivot_nested(df, "data", "n", "v", ["b"])) == [(1, None)]
+    assert rows(op.pivot_nested(df, "data", "n", "v", ["a", "b"], fill=0.0, duplicates="sum")) == [(1, 3.0, 0.0)]
+    gaps = spark.createDataFrame([(1, [("a", 1.0), ("a", None), ("b", None)])], df.schema)
+    assert rows(op.pivot_nested(gaps, "data", "n", "v", ["a", "b"], duplicates="sum")) == [(1, 1.0, None)]
 
 
 def test_two_way_choice_stays_null(spark):
@@ -265,11 +275,95 @@ def test_group_maximum_keeps_ties_and_null_groups(spark):
     assert sorted(r.id for r in kept.collect()) == [2, 3, 4, 5]
 
 
+def test_a_missing_value_hides_its_group_s_maximum(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", None, 2), ("b", 3, 3), ("b", 3, 4), (None, 5, 5), ("c", None, 6)], "k string, x int, id int")
+    for ties in ("few", "many"):
+        assert sorted(r.id for r in op.keep_group_max(df, ["k"], "x", ties=ties).collect()) == [1, 3, 4, 5]
+        assert sorted(r.id for r in op.keep_group_max(df, ["k"], "x", "propagate", ties).collect()) == [3, 4, 5]
+    for wrong in ({"nulls": "x"}, {"ties": "x"}):
+        with pytest.raises(ValueError):
+            op.keep_group_max(df, ["k"], "x", **wrong)
+
+
 def test_unique_keys_can_be_asserted(spark):
-    df = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
-    assert op.assert_unique(df, ["k", "v"]) is df
-    with pytest.raises(ValueError, match="not unique"):
-        op.assert_unique(df, ["k"])
+    df = spark.createDataFrame([(1, "x"), (1, "y"), (None, None)], "k int, v string")
+    assert rows(op.assert_unique(df, ["k", "v"])) == rows(df)
+    repeated = op.assert_unique(df, ["k"])  # nothing runs yet
+    with pytest.raises(SparkRuntimeException, match="key is not unique: k=1"):
+        repeated.collect()
+
+
+def test_numbers_in_labels_are_shown_short(spark):
+    shown = {
+        2.0: "2", 0.1 + 0.2: "0.3", 100000.0: "1e+05", 123456.0: "123456", 150000.0: "150000", 1e-5: "1e-05", 0.0001: "1e-04", 0.00012345: "0.00012345",
+        1 / 3: "0.333333333333333", -0.5: "-0.5", 0.0: "0", 1234567.891: "1234567.891", 1e15: "1e+15", 3e100: "3e+100", 1e-300: "1e-300", float("inf"): "Inf",
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(shown)], "k int, x double").orderBy("k")
+    assert [r[0] for r in df.select(fn.label("x")).collect()] == list(shown.values())
+    mixed = spark.createDataFrame([(1, "2.0", datetime.date(2024, 1, 2), 2.0, None)], "i int, s string, d date, x double, n double")
+    assert [r[0] for r in mixed.select(fn.label("i", "s", "d", "x", "n")).collect()] == ["1 2.0 2024-01-02 2 NA"]
+
+
+def test_names_lose_their_accents():
+    assert [snake(x) for x in ("Équipe", "Größe", "Ñandú %", "Tee Direction", "PSxG", "Ødegård")] == ["equipe", "grosse", "nandu_percent", "tee_direction", "p_sx_g", "odegard"]
+
+
+# Student's quantiles for 0.975 and 0.95 by degrees of freedom.
+T_975 = {1: 12.7062047362, 2: 4.3026527297, 3: 3.1824463053, 5: 2.5705818356, 10: 2.2281388520, 30: 2.0422724563, 100: 1.9839715185, 1000: 1.9623390808}
+T_95 = {1: 6.3137515147, 2: 2.9199855804, 5: 2.0150483733, 10: 1.8124611228, 30: 1.6972608866, 120: 1.6576508994}
+
+
+def test_student_quantiles(spark):
+    for p, table in ((0.975, T_975), (0.95, T_95)):
+        df = spark.createDataFrame([(n,) for n in [0, *table]], "n int")
+        found = {r.n: r.t for r in df.select("n", fn.student_t_quantile(p, F.col("n")).alias("t")).collect()}
+        assert found.pop(0) is None
+        assert found == {n: pytest.approx(t, rel=1e-9) for n, t in table.items()}
+    with pytest.raises(ValueError):
+        fn.student_t_quantile(1.0, F.lit(3))
+
+
+def test_confidence_band(spark):
+    points = [(1.0, 1.1), (2.0, 1.9), (3.0, 3.2), (4.0, 3.9), (5.0, 5.1), (6.0, None), (None, 2.0)]
+    df = spark.createDataFrame(points, "x double, y double")
+    known = [(x, y) for x, y in points if x is not None and y is not None]
+    n, mx, my = len(known), sum(x for x, _ in known) / len(known), sum(y for _, y in known) / len(known)
+    sxx = sum((x - mx) ** 2 for x, _ in known)
+    b = sum((x - mx) * (y - my) for x, y in known) / sxx
+    a = my - b * mx
+    s = (sum((y - a - b * x) ** 2 for x, y in known) / (n - 2)) ** 0.5
+    for row in op.add_fit(df, "y", "x", 0.95).collect():
+        if row.x is None:
+            assert row.lower is None and row.upper is None
+            continue
+        half = T_975[3] * s * (1 / n + (row.x - mx) ** 2 / sxx) ** 0.5
+        assert (row.lower, row.upper) == (pytest.approx(a + b * row.x - half), pytest.approx(a + b * row.x + half))
+    few = op.add_fit(df.limit(2), "y", "x", 0.95).collect()
+    assert all(r.lower is None and r.fitted is not None for r in few)
+
+
+def test_totals_from_one_aggregate(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 4.0), (None, 1, 6.0)], "k string, g int, x double")
+    found = op.totals_by(df, ["k", "g"], {"n": fn.rows(), "m": fn.mean("x")}, {"r": F.col("m") / F.col("n")})
+    assert rows(found) == [("Total", "-", 3, 4.0, 4.0 / 3), ("a", "1", 1, 2.0, 2.0), ("a", "2", 1, 4.0, 4.0), (None, "1", 1, 6.0, 6.0)]
+    assert rows(op.totals_by(df.limit(0), ["k"], {"n": fn.rows()})) == []
+
+
+def test_zone_statistics_follow_the_null_rule(spark):
+    rows_ = [("A", 1, 1.0, 10.0), ("A", 1, 3.0, 30.0), ("B", 1, 5.0, 20.0), ("A", 2, None, 1.0), ("B", 2, 4.0, None), ("B", 2, 2.0, 3.0)]
+    df = spark.createDataFrame(rows_, "team_abbreviation string, zone int, tgaa_96 double, team_goals_added_against double")
+    for nulls in ("skip", "propagate"):
+        league = {r.zone: r for r in plans.zone_league_average(df, nulls).collect()}
+        scores = {(r.team_abbreviation, r.zone): r for r in plans.zone_zscores(df, nulls=nulls).collect()}
+        spread = {r.zone: r for r in plans.zone_spread(df, nulls).collect()}
+        for (_, zone), r in scores.items():
+            assert (r.lg_avg_gaa_96, r.lg_avg_gaa) == (league[zone].lg_avg_gaa_96, league[zone].lg_avg_gaa)
+            assert (r.mean_gaa, r.sd_gaa) == (spread[zone].mean_gaa, spread[zone].sd_gaa)
+        assert (spread[2].mean_gaa is None) == (spread[2].sd_gaa is None) == (nulls == "propagate")
+        assert spread[1].sd_gaa is not None
+        assert scores["B", 2].avg_gaa_96 == 3.0 and (scores["B", 2].avg_gaa is None) == (nulls == "propagate")
+    with pytest.raises(ValueError):
+        plans.zone_spread(df, "other")
 
 
 def test_union_fills_absent_columns(spark):

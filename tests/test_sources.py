@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtside import plans, sources
 from courtside.sources import schemas
@@ -132,3 +133,30 @@ def test_posts(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"title": "T", "author": "A", "date": "2024-01-29", "categories": ["golf"]}')
     found = sources.posts(spark, str(tmp_path))
     assert rows(plans.category_counts(found)) == [("All", 1), ("golf", 1)]
+
+
+def test_cells_that_cannot_be_read_are_kept_and_counted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Team,Season_End_Year,Away_Team,Home_Team,Goals\nA,2023,B,A,1\nB,20x3,B,A,two\nC,,B,A,3\nD,n/a,B,A,4\n")
+    found = sources.team_passing(spark, str(tmp_path), [T.StructField("Goals", T.IntegerType())], rescue=True)
+    assert found.columns == ["season_end_year", "team", "home_team", "away_team", "goals", "bad_values"]
+    by_team = {r.team: (r.season_end_year, r.goals, [tuple(v) for v in r.bad_values]) for r in found.collect()}
+    assert by_team["A"] == (2023, 1, []) and by_team["C"] == (None, 3, [])
+    assert by_team["B"] == (None, None, [("season_end_year", "20x3"), ("goals", "two")])
+    assert rows(sources.bad_value_counts(found)) == [("goals", 1, "two"), ("season_end_year", 2, "20x3")]
+    assert "bad_values" not in sources.team_passing(spark, str(tmp_path)).columns
+    assert sources.scorecards(spark, _card(tmp_path), rescue=True).select("bad_values").first()[0][0].asDict() == {"column": "drops_from_tee", "text": "none"}
+
+
+def _card(folder):
+    names = schemas.SCORECARD.fieldNames()
+    (folder / "cards").mkdir()
+    cells = {"Hole": "1", "Tee Direction": "left", "Drops from Tee": "none"}
+    (folder / "cards" / "r1.csv").write_text(",".join(names) + "\n" + ",".join(cells.get(n, "") for n in names) + "\n")
+    return str(folder / "cards")
+
+
+def test_seasons_from_a_table(spark, landed_shots):
+    seasons = spark.createDataFrame([(2022, "x"), (2023, "y")], "year int, name string").filter("name = 'x'").select("year")
+    found = sources.shots(spark, landed_shots, seasons=seasons)
+    assert rows(found) == rows(sources.shots(spark, landed_shots, seasons=2022))
+    assert "dynamicpruning" in final_plan(found)
