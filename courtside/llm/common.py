@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -59,6 +60,49 @@ class WordHashes(dict):
 HASHES = WordHashes()
 
 
+@lru_cache(maxsize=1)
+def code_points() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point: whether it is part of a word (what WORD matches), and a random number for its lower case."""
+    texts = [chr(k) for k in range(0x110000)]
+    lower = (low if len(low := c.lower()) == 1 else c for c in texts)
+    numbers = np.fromiter(map(ord, lower), np.uint64, len(texts))
+    return np.fromiter((c.isalnum() for c in texts), bool, len(texts)), mix(numbers + np.uint64(1))
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as the longest text so far needs."""
+
+    base = np.uint64(0x9E3779B97F4A7C15)
+    inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = 1 << max(16, (n - 1).bit_length())
+            cls.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, cls.base))])
+            cls.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, cls.inverse))])
+        return cls.up[:n], cls.down
+
+
+def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the text's words whatever their case, and the places where each starts and ends.
+
+    The words are those of WORD. A word's hash is a polynomial in its characters' numbers: one running sum over the
+    text holds them all, a word's is the difference at its ends divided by the power at its start.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    in_word, numbers = code_points()
+    inside = np.zeros(len(points) + 2, np.int8)
+    inside[1:-1] = in_word[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = Powers.of(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(numbers[points] * up[: len(points)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a text: runs of letters and digits, in lower case."""
     return WORD.findall((text or "").lower())

@@ -1,77 +1,69 @@
-"""Substring dedup by paragraphs: MinHash bands propose like paragraphs, exact Jaccard verifies them, components say which
-are one passage, and every occurrence but the first goes.
-
-Passages do not respect line ends, so a paragraph here is cut by content: a boundary lies where a hash of two
-neighbouring words is the smallest within REACH words on either side. The same passage is cut in the same places wherever
-it stands. Runs of repeated paragraphs are then extended word by word to the passage's real ends, by comparison with
-its first occurrence, and are removed if they have at least LEAST_WORDS words.
+"""Substring dedup by paragraphs: MinHash bands propose like paragraphs, the edit distance verifies the passage around them, and
+components of the removals say which document keeps it.
+
+Passages do not respect line ends, so a paragraph here is any PARAGRAPH consecutive words. Its band is one minimum over its
+five-word shingles. Neighbouring paragraphs mostly share their minimum, so a text of n words has about n / 10
+different ones: its seeds, each with its place. Equal paragraphs share their seed with certainty, like ones with the
+probability of their Jaccard similarity, and a passage of 50 words holds 27 paragraphs.
+
+A seed that a later document shares with an earlier one is a place where both texts may run alike. Seeds of two documents at
+nearly the same shift form a chain; the words around it are aligned in a band of shifts, edits are bridged, and the
+passage found is removed from the later document if it has LEAST_WORDS words and the edit similarity of both
+sides is at least SIMILARITY. Every removal follows one earlier document, so text that repeats nowhere is left alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from courtside.llm.common import HASHES, WORD, components, mix, rolling, signed, stage
+from courtside.llm.common import components, hashed_words, mix, rolling, signed, stage
+from courtside.llm.near_dedup import similarity
 
-REACH = 6
-LONGEST = 64
 SHINGLE = 5
-BANDS = 3
+PARAGRAPH = 24
 SIMILARITY = 0.8
 LEAST_WORDS = 50
 
-#: Odd factors: each permutes the 64-bit hashes.
-FACTORS = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    """32-bit hashes of the text's words, whatever their case; the words are where WORD finds them in the text itself."""
-    return HASHES.of(WORD.findall(text or "")).astype(np.uint32)
-
-
-def window_minima(values: np.ndarray) -> np.ndarray:
-    """The smallest of each run of REACH = 6 values."""
-    two = np.minimum(values[:-1], values[1:])
-    return np.minimum(np.minimum(two[:-4], two[2:-2]), two[4:])
-
-
-def boundaries(words: np.ndarray) -> np.ndarray:
-    """Where paragraphs start, and the number of words as the last entry; none is longer than LONGEST."""
-    n = len(words)
-    if n == 0:
-        return np.zeros(1, np.int64)
-    pairs = rolling(words.astype(np.uint64), 2)
-    most = np.uint64(2**64 - 1)
-    padded = np.concatenate([np.full(REACH, most), pairs, np.full(REACH, most)])
-    minima = window_minima(padded)
-    left, right = minima[: len(pairs)], minima[REACH + 1 :]
-    cuts = np.flatnonzero((pairs < left) & (pairs <= right))
-    starts = np.unique(np.concatenate([[0], cuts, [n]]))
-    if np.diff(starts).max(initial=0) > LONGEST:
-        starts = np.unique(np.concatenate([np.arange(a, b, LONGEST) for a, b in zip(starts[:-1], starts[1:], strict=True)] + [[n]]))
-    return starts
-
-
-def signatures(words: np.ndarray, starts: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Each paragraph's key, a hash of its words, and its BANDS minima over five-word shingles, as 32-bit values."""
-    data = words.tobytes()
-    edges = starts.tolist()
-    keys = [xxhash.xxh3_64_intdigest(data[4 * a : 4 * b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    a, b = starts[:-1], starts[1:]
-    hashed = np.concatenate([rolling(words.astype(np.uint64), min(SHINGLE, max(1, len(words)))), np.zeros(1, np.uint64)])
-    stops = np.maximum(a + 1, b - SHINGLE + 1)
-    spans = np.minimum(np.column_stack([a, stops]).ravel(), len(hashed) - 1)
-    short = (b - a) < SHINGLE
-    minima = []
-    for factor in FACTORS:
-        least = np.minimum.reduceat(hashed * factor, spans)[::2]
-        minima.append((np.where(short, np.array(keys, np.uint64), least) >> np.uint64(32)).astype(np.uint32))
-    return keys, np.array(minima).reshape(BANDS, len(keys))
+#: Words on either side of a chain in which the passage's ends are looked for, in each step.
+AROUND = 80
+#: Seeds of two documents whose shifts lie in the same span of this many words are one chain.
+SHIFTS = 64
+#: How far the shift may move beyond the chain's seeds, the longest edit that is bridged, and the shortest run that counts.
+DRIFT, BRIDGE, RUN = 8, 10, 3
+#: Words of earlier documents are fetched in blocks of this many.
+BLOCK = 64
+#: Characters of text whose results are held at once.
+HELD = 4_000_000
+
+PLACE_BITS = 24
+LATEST = (1 << 63) - 1
+
+
+def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of each run of ``width`` values (all of them where there are fewer)."""
+    width, size = min(width, len(values)), 1
+    while 2 * size <= width:
+        values, size = np.minimum(values[:-size], values[size:]), 2 * size
+    return values if size == width else np.minimum(values[: len(values) - (width - size)], values[width - size :])
+
+
+def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the smallest shingle of each paragraph, every place once."""
+    hashes = rolling(words, SHINGLE)
+    places = []
+    step, width, low = 1 << (PLACE_BITS - 1), PARAGRAPH - SHINGLE + 1, np.uint64((1 << PLACE_BITS) - 1)
+    for start in range(0, len(hashes), step):  # the place in a section shares 64 bits with the hash
+        part = hashes[start : start + step + width - 1]
+        packed = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        places.append((sliding_minima(packed, width) & low).astype(np.int64) + start)
+    found = np.unique(np.concatenate(places)) if places else np.zeros(0, np.int64)
+    return hashes[found], found
 
 
 def document_key() -> Column:
@@ -79,192 +71,207 @@ def document_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, unit, start, n, key, bands) for each paragraph; ``doc`` is the document's key."""
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in portions of about HELD characters of the texts in ``column``, one text at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + HELD, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
-    def cut(batches):
-        for batch in batches:
-            docs_, ids, units, starts_, sizes, keys_, bands = [], [], [], [], [], [], []
-            for doc, doc_id, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                words = word_hashes(text.as_py())
-                if not len(words):
-                    continue
-                starts = boundaries(words)
-                keys, minima = signatures(words, starts)
-                k = len(keys)
-                docs_ += [doc.as_py()] * k
-                ids += [doc_id.as_py()] * k
-                units.append(np.arange(k, dtype=np.int32))
-                starts_.append(starts[:-1].astype(np.int32))
-                sizes.append(np.diff(starts).astype(np.int32))
-                keys_.append(np.array(keys, np.uint64))
-                bands.append(minima.astype(np.uint32).view(np.int32))
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            minima = np.concatenate(bands, axis=1) if bands else np.zeros((BANDS, 0), np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(docs_, pa.int64()),
-                    pa.array(ids, pa.int64()),
-                    *[pa.array(join(x, np.int32)) for x in (units, starts_, sizes)],
-                    pa.array(signed(join(keys_, np.uint64))),
-                    *[pa.array(np.ascontiguousarray(x)) for x in minima],
-                ],
-                ["doc", "doc_id", "unit", "start", "n", "key", *[f"m{k}" for k in range(BANDS)]],
-            )
-
-    schema = "doc long, doc_id long, unit int, start int, n int, key long, " + ", ".join(f"m{k} int" for k in range(BANDS))
-    return docs.select(document_key().alias("doc"), "doc_id", "text").mapInArrow(cut, schema)
-
-
-def word_ranges(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """``requests`` (doc, start, n, ...) with ``words``: the hashes of those words of that document, cut to what it has."""
-    columns = [x for x in requests.columns if x != "doc"]
-    texts = docs.select(document_key().alias("doc"), "text").join(requests.select("doc").distinct(), "doc").dropDuplicates(["doc"])
-    asked = requests.groupBy("doc").agg(F.collect_list(F.struct("start", "n", F.struct(*columns).alias("row"))).alias("asked"))
 
-    def fetch(batches):
-        for batch in batches:
-            owners, found = [], []
-            for doc, text, starts, sizes in zip(*batch.columns, strict=True):
-                words = word_hashes(text.as_py())
-                owners.append(doc.as_py())
-                found.append([words[max(0, a) : max(0, a + n)].tobytes() for a, n in zip(starts.as_py(), sizes.as_py(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(found, pa.list_(pa.binary()))], ["doc", "words"])
+def all_seeds(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, m, place): the seeds of every text that is long enough to hold a passage; a null id counts as the last."""
 
-    # all that is asked of one document is bounded by its own paragraphs and the runs that start from them
-    joined = texts.join(asked, "doc")
-    got = joined.select("doc", "text", F.col("asked.start").alias("s"), F.col("asked.n").alias("z")).mapInArrow(fetch, "doc long, words array<binary>")
-    return got.join(asked, "doc").select("doc", F.explode(F.arrays_zip("asked", "words")).alias("x")).select("doc", "x.asked.row.*", "x.words")
+    def cut(batches):
+        for batch in batches:
+            for some in portions(batch, 2):
+                kept, counts, hashes, places = [], [], [], []
+                for k, text in enumerate(some.column(2)):
+                    words = hashed_words(text.as_py() or "")[0]
+                    if len(words) >= LEAST_WORDS:
+                        m, at = seeds(words)
+                        kept.append(k)
+                        counts.append(len(m))
+                        hashes.append(m)
+                        places.append(at)
+                owner = pa.array(np.repeat(np.array(kept, np.int64), np.array(counts, np.int64)))
+                join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0).take(owner), some.column(1).take(owner), pa.array(signed(join(hashes, np.uint64))), pa.array(join(places, np.int64).astype(np.int32))],
+                    ["doc", "doc_id", "m", "place"],
+                )
+
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LATEST)).alias("doc_id")
+    return docs.select(document_key().alias("doc"), order, "text").mapInArrow(cut, "doc long, doc_id long, m long, place int")
+
+
+def chains(docs: DataFrame) -> DataFrame:
+    """(doc, source, low, high, source_low, source_high): places of a document's seeds that an earlier document, the source, has as well.
+
+    A seed's source is the first document that holds it, by doc_id. A seed that most documents hold (a common line)
+    costs a row for each, never a pair: counts and minima are partial aggregates, the joins are ones that Spark splits.
+    """
+    found = stage(all_seeds(docs), "seeds")
+    shared = found.groupBy("m").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("m", "least")
+    held = stage(found.join(shared, "m"), "shared-seeds")
+    firsts = held.where("doc_id = least").groupBy("m").agg(F.min("doc").alias("source"))
+    # the first document may hold a seed more than once: its first place counts
+    places = held.where("doc_id = least").select("m", F.col("doc").alias("source"), "place").join(firsts, ["m", "source"])
+    first = stage(places.groupBy("m", "source").agg(F.min("place").alias("source_place")), "first-seeds")
+    pairs = held.select("m", "doc", "place").join(first, "m").where("doc != source")
+    shift = F.floor((F.col("place") - F.col("source_place")) / SHIFTS)
+    return pairs.groupBy("doc", "source", shift.alias("shift")).agg(
+        F.min("place").alias("low"), F.max("place").alias("high"), F.min("source_place").alias("source_low"), F.max("source_place").alias("source_high"),
+        F.min(F.col("place") - F.col("source_place")).alias("least_shift"), F.max(F.col("place") - F.col("source_place")).alias("most_shift"),
+    )
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact Jaccard similarity of two paragraphs' sets of five-word shingles (all words where there are fewer)."""
-    x, y = ({tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))} for w in (a.tolist(), b.tolist()))
-    return len(x & y) / max(1, len(x | y))
+def texts_of(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, text) of the documents in ``keys`` (doc, distinct), one row each."""
+    return docs.select(document_key().alias("doc"), "text").join(keys, "doc").dropDuplicates(["doc"])
 
 
-def like_paragraphs(units: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b): keys of different paragraphs that verify as alike.
+def blocks_of(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(source, block, words) of the distinct ``asked`` (source, block): the hashes of those words, nothing past the text's end.
 
-    Keys that share a band are compared with the band's most frequent key. Three bands of one minimum each find a pair of
-    similarity 0.8 with probability 0.992.
+    A document's list of blocks is bounded by its own length.
     """
-    keys = units.groupBy("key").agg(F.count("*").alias("count"), *[F.min(f"m{k}").alias(f"m{k}") for k in range(BANDS)])
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.col(f"m{k}").alias("m")) for k in range(BANDS)])
-    exploded = keys.select("key", "count", F.explode(bands).alias("b")).select("key", "count", "b.band", "b.m")
-    leader = F.first("key").over(Window.partitionBy("band", "m").orderBy(F.desc("count"), "key"))
-    pairs = stage(exploded.withColumn("leader", leader).where("key != leader").select("key", "leader").distinct(), "paragraph-pairs")
-    asked = pairs.select("key").union(pairs.select("leader")).distinct()
-    one = units.select("key", "doc", "start", "n").join(asked, "key").dropDuplicates(["key"])
-    words = stage(word_ranges(one, docs).select("key", "words"), "paragraph-words")
-
-    def verify(batches):
-        for batch in batches:
-            good = [
-                jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) >= least
-                for x, y in zip(batch.column(2), batch.column(3), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = words.select("key", F.col("words").alias("x"))
-    right = words.select(F.col("key").alias("leader"), F.col("words").alias("y"))
-    return pairs.join(left, "key").join(right, "leader").select("key", "leader", "x", "y").mapInArrow(verify, "a long, b long")
+    def fetch(batches):
+        for batch in batches:
+            for some in portions(batch, 1):
+                owners, numbers, found = [], [], []
+                for k, (text, blocks) in enumerate(zip(some.column(1), some.column(2), strict=True)):
+                    words = hashed_words(text.as_py() or "")[0]
+                    for block in blocks.as_py():
+                        part = words[block * BLOCK : (block + 1) * BLOCK]
+                        if len(part):
+                            owners.append(k)
+                            numbers.append(block)
+                            found.append(part.astype("<u4").tobytes())
+                owner = pa.array(owners, pa.int64())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(owner), pa.array(numbers, pa.int32()), pa.array(found, pa.binary())], ["source", "block", "words"])
+
+    lists = asked.groupBy("source").agg(F.collect_list("block").alias("blocks")).withColumnRenamed("source", "doc")
+    joined = texts_of(lists, docs).select("doc", "text", "blocks")
+    return joined.mapInArrow(fetch, "source long, block int, words binary")
+
+
+def passages(b: np.ndarray, a: np.ndarray, shifts: tuple[int, int], least_words: int, least: float) -> list[tuple[int, int, int, int]]:
+    """(b_low, b_high, a_low, a_high): stretches of ``b`` that run along ``a`` at a shift (place in b less place in a) near ``shifts``.
+
+    A word counts if it is in a run of RUN equal words at one shift; stretches between such words of at most BRIDGE words are edits.
+    """
+    low, high = shifts[0] - DRIFT, shifts[1] + DRIFT
+    n = len(b)
+    # column k compares b[i] with a[i - low - k]; places outside of a match nothing
+    at = np.arange(n)[:, None] - np.arange(low, high + 1)[None, :]
+    equal = (at >= 0) & (at < len(a))
+    equal &= a[np.clip(at, 0, max(0, len(a) - 1))] == b[:, None] if len(a) else False
+    if n < RUN:
+        return []
+    run = equal[RUN - 1 :].copy()
+    for k in range(RUN - 1):
+        run &= equal[k : n - RUN + 1 + k]
+    matched = np.zeros(equal.shape, bool)
+    for k in range(RUN):
+        matched[k : n - RUN + 1 + k] |= run
+    places = np.flatnonzero(matched.any(1))
+    if not len(places):
+        return []
+    shift = matched[places].argmax(1) + low
+    breaks = np.flatnonzero((np.diff(places) > BRIDGE + 1) | (np.abs(np.diff(shift)) > BRIDGE)) + 1
+    out = []
+    for first, last in zip([0, *breaks], [*(breaks - 1), len(places) - 1], strict=True):
+        b_low, b_high = int(places[first]), int(places[last]) + 1
+        a_low, a_high = b_low - int(shift[first]), b_high - int(shift[last])
+        if b_high - b_low < least_words or a_high <= a_low:
+            continue
+        whole = last - first + 1 == b_high - b_low and shift[first] == shift[last] and (shift[first : last + 1] == shift[first]).all()
+        if whole or similarity(b[b_low:b_high].astype(np.uint64), a[a_low:a_high].astype(np.uint64), least) >= least:
+            out.append((b_low, b_high, a_low, a_high))
+    return out
 
 
-def repeated_runs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc, start, end, left, right, first_doc, first_doc_id): runs of paragraphs that occur in an earlier document.
+def removals(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """(doc, low, high, source, source_low, source_high): words low..high of a document run along those of an earlier one."""
+    linked = stage(chains(docs), "chains")
+    first = F.greatest(F.col("source_low") - AROUND, F.lit(0))
+    block = F.explode(F.sequence(F.floor(first / BLOCK).cast("int"), F.floor((F.col("source_high") + SHINGLE + AROUND) / BLOCK).cast("int")))
+    wanted = linked.select("*", block.alias("block"))
+    blocks = stage(blocks_of(wanted.select("source", "block").distinct(), docs), "source-words")
+    sent = F.struct("source", "shift", "low", "high", "least_shift", "most_shift", "block", "words")
+    gathered = wanted.join(blocks, ["source", "block"]).groupBy("doc").agg(F.collect_list(sent).alias("sent"))
 
-    Words start..end of the document; ``left`` and ``right`` are the hashes of the words around the run's first occurrence,
-    up to LONGEST of them, with which the run's ends are extended.
+    def align(batches):
+        for batch in batches:
+            for some in portions(batch, 1):
+                rows = []
+                for doc, text, sent in zip(some.column(0).to_pylist(), some.column(1), some.column(2), strict=True):
+                    words = hashed_words(text.as_py() or "")[0].astype(np.uint32)
+                    by_chain: dict[tuple, list] = {}
+                    for x in sent.as_py():
+                        by_chain.setdefault((x["source"], x["shift"]), []).append(x)
+                    for (source, _), parts in by_chain.items():
+                        parts.sort(key=lambda x: x["block"])
+                        start = parts[0]["block"] * BLOCK
+                        a = np.frombuffer(b"".join(x["words"] for x in parts), "<u4")
+                        x = parts[0]
+                        left = max(0, x["low"] - AROUND)
+                        b = words[left : x["high"] + SHINGLE + AROUND]
+                        moved = start - left
+                        for b_low, b_high, a_low, a_high in passages(b, a, (x["least_shift"] + moved, x["most_shift"] + moved), least_words, least):
+                            rows.append((doc, left + b_low, left + b_high, source, start + a_low, start + a_high))
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "low", "high", "source", "source_low", "source_high"])
+
+    schema = "doc long, low long, high long, source long, source_low long, source_high long"
+    return texts_of(gathered, docs).select("doc", "text", "sent").mapInArrow(align, schema)
+
+
+def keepers(removed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, kept_by): for each document that loses passages the ids of the documents that keep them.
+
+    A removal whose source loses that passage itself, at least half of it, is linked with that removal. A component of
+    linked removals is one passage; it is kept by the first of the sources that do not lose it.
     """
-    units = stage(paragraphs(docs), "paragraphs")
-    alike = components(stage(like_paragraphs(units, docs, least), "paragraph-links"))
-    repeated = units.groupBy("key").agg(F.countDistinct("doc").alias("docs"))
-    cluster = (
-        repeated.join(alike.withColumnRenamed("node", "key"), "key", "left")
-        .where("docs > 1 or root is not null")
-        .select("key", F.coalesce("root", "key").alias("cluster"))
-    )
-    occurrences = stage(
-        units.select("key", "doc", "doc_id", "unit", "start", "n").join(cluster, "key").select("cluster", "doc", "doc_id", "unit", "start", "n", "key"),
-        "occurrences",
-    )
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "unit", "start", "n", "key")
-    first = occurrences.groupBy("cluster").agg(F.min(order).alias("f"))
-    later = occurrences.join(first, "cluster").where(F.col("doc") != F.col("f.doc"))
-    # consecutive paragraphs of a document: unit less its rank among the repeated ones is constant in a run
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy("unit"))
-    numbered = later.dropDuplicates(["doc", "unit"]).withColumn("run", F.col("unit") - rank)
-    # the ends are taken from paragraphs equal to their first occurrence, where a run has any: like ones need not line up
-    equal = F.col("key") == F.col("f.key")
-    low, high = F.struct("unit", "start", "f"), F.struct("unit", (F.col("start") + F.col("n")).alias("end"), "f")
-    runs = numbered.groupBy("doc", "run").agg(
-        F.coalesce(F.min(F.when(equal, low)), F.min(low)).alias("a"), F.coalesce(F.max(F.when(equal, high)), F.max(high)).alias("z")
-    )
-    runs = stage(
-        runs.select(
-            "doc", "run", "a.start", "z.end",
-            F.struct(F.col("a.f.doc").alias("doc"), F.col("a.f.start").alias("at")).alias("l"),
-            F.struct(F.col("z.f.doc").alias("doc"), (F.col("z.f.start") + F.col("z.f.n")).alias("at")).alias("r"),
-            F.col("a.f.doc_id").alias("first_doc_id"),
-        ),
-        "runs",
-    )
-    owner = [F.col("doc").alias("owner"), "run"]
-    left = runs.select(F.col("l.doc").alias("doc"), (F.col("l.at") - LONGEST).alias("start"), F.lit(LONGEST).alias("n"), *owner, F.lit(0).alias("side"))
-    right = runs.select(F.col("r.doc").alias("doc"), F.col("r.at").alias("start"), F.lit(LONGEST).alias("n"), *owner, F.lit(1).alias("side"))
-    asked = left.union(right)
-    around = word_ranges(asked, docs)
-    sides = around.groupBy("owner", "run").agg(
-        F.max(F.when(F.col("side") == 0, F.col("words"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("words"))).alias("right")
+    name = F.xxhash64("doc", "low", "high", "source", "source_low")
+    named = stage(removed.withColumn("id", name), "removals")
+    there = named.select(F.col("doc").alias("source"), F.col("low").alias("o_low"), F.col("high").alias("o_high"), F.col("id").alias("other"))
+    overlap = F.least("source_high", "o_high") - F.greatest("source_low", "o_low")
+    links = stage(
+        named.join(there, "source").where(2 * overlap >= F.col("source_high") - F.col("source_low")).select(F.col("id").alias("a"), F.col("other").alias("b")), "removal-links"
     )
-    return runs.join(sides.withColumnRenamed("owner", "doc"), ["doc", "run"]).select("doc", "start", "end", "left", "right", "first_doc_id")
-
-
-def matching(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading entries agree."""
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    return n if same.all() else int(np.argmin(same))
-
-
-def removals(text: str, runs: list[dict], least_words: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """Character spans to remove and their words: runs extended to the passage's ends, merged, short ones left alone."""
-    places = [found.span() for found in WORD.finditer(text)]
-    words = word_hashes(text)
-    spans = []
-    for run in runs:
-        a, b = run["start"], run["end"]
-        left, right = (np.frombuffer(run[side] or b"", np.uint32) for side in ("left", "right"))
-        a -= matching(words[:a][::-1], left[::-1])
-        b += matching(words[b:], right)
-        if b - a >= least_words:
-            spans.append((a, b))
+    roots = stage(components(links), "passage-classes")
+    classed = named.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    lost = links.select(F.col("a").alias("id")).distinct()
+    ids = docs.select(document_key().alias("source"), F.col("doc_id").alias("kept")).dropDuplicates(["source"])
+    sources = classed.join(lost, "id", "left_anti").join(ids, "source")
+    kept = sources.groupBy("root").agg(F.min("kept").alias("kept"))
+    return classed.select("doc", "root").distinct().join(kept, "root").groupBy("doc").agg(F.sort_array(F.collect_set("kept")).alias("kept_by"))
+
+
+def cut_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """Character spans to remove and their words, for runs of words that may overlap."""
+    _, starts, _ = hashed_words(text)
     merged: list[list[int]] = []
-    for a, b in sorted(spans):
+    for a, b in sorted(runs):
         if merged and a <= merged[-1][1]:
             merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
-    out = []
-    for a, b in merged:
-        # the marks and spaces after the last word go with it
-        out.append((places[a][0], places[b][0] if b < len(places) else len(text), b - a))
-    return out
-
+    # the marks and spaces after the last word go with it
+    return [(int(starts[a]), int(starts[b]) if b < len(starts) else len(text), b - a) for a, b in merged]
 
-def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with its repeated passages removed from ``text``, and two columns: removed (spans), first_doc_ids.
 
-    ``removed`` has (start, end, n_words) in code points of the old text and is null for documents that keep all of it;
-    ``first_doc_ids`` has the documents that keep the passages. A passage stays in the document with the smallest
-    doc_id (null last) and is removed from all others; repeats within one document stay. Each row of ``docs`` gives one row;
-    rows alike in id and text are one document and are treated alike. Null and empty texts stay as they are.
-    """
-    runs = repeated_runs(docs.select("doc_id", "text"), least)
-    per_doc = runs.groupBy("doc").agg(
-        F.collect_list(F.struct("start", "end", "left", "right")).alias("__runs"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids")
-    )
+def _without(docs: DataFrame, least_words: int, least: float) -> DataFrame:
+    """(row, text, removed, kept_by) for each row of ``docs``; ``row`` holds its columns."""
+    slim = docs.select("doc_id", "text")
+    found = stage(removals(slim, least_words, least), "passages")
+    runs = found.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("runs")).join(keepers(found, slim), "doc", "left")
 
     @F.pandas_udf("struct<text string, removed array<struct<start:int,end:int,n_words:int>>>")
     def cut(texts, runs):
@@ -272,21 +279,36 @@ def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, least: float =
 
         new, gone = [], []
         for text, some in zip(texts, runs, strict=True):
-            spans = removals(text, list(some), least_words) if some is not None and text else []
+            spans = cut_spans(text, [(x["low"], x["high"]) for x in some])
             kept, end = [], 0
             for a, b, _ in spans:
                 kept.append(text[end:a])
                 end = b
-            new.append("".join([*kept, text[end:]]).rstrip() if spans else text)
-            gone.append([{"start": a, "end": b, "n_words": n} for a, b, n in spans] or None)
+            new.append("".join([*kept, text[end:]]).rstrip())
+            gone.append([{"start": a, "end": b, "n_words": n} for a, b, n in spans])
         return pd.DataFrame({"text": new, "removed": gone})
 
-    joined = docs.withColumn("__doc", document_key()).join(per_doc.withColumnRenamed("doc", "__doc"), "__doc", "left")
-    done = joined.withColumn("__cut", F.when(F.col("__runs").isNotNull(), cut("text", "__runs")))
-    others = [x for x in docs.columns if x != "text"]
-    gone = F.col("__cut.removed")
-    text = F.when(gone.isNotNull(), F.col("__cut.text")).otherwise(F.col("text"))
-    return done.select(*others, text.alias("text"), gone.alias("removed"), F.when(gone.isNotNull(), F.col("first_doc_ids")).alias("first_doc_ids"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), document_key().alias("doc"))
+    joined = rows.join(runs, "doc", "left")
+    done = joined.where("runs is not null").select("row", cut("row.text", "runs").alias("cut"), F.coalesce("kept_by", F.array()).alias("kept_by"))
+    none = joined.where("runs is null").select(
+        "row", F.col("row.text").alias("text"), F.lit(None).cast("array<struct<start:int,end:int,n_words:int>>").alias("removed"), F.lit(None).cast(done.schema["kept_by"].dataType).alias("kept_by")
+    )
+    return done.select("row", "cut.text", "cut.removed", "kept_by").union(none)
+
+
+def deduplicated(docs: DataFrame, least_words: int = LEAST_WORDS, least: float = SIMILARITY) -> DataFrame:
+    """``docs`` with its repeated passages removed from ``text``, and two columns: removed (spans), first_doc_ids.
+
+    ``removed`` has (start, end, n_words) in code points of the old text and is null for documents that keep all of it;
+    ``first_doc_ids`` has the documents that keep the passages. A passage stays in the document with the smallest
+    doc_id (null last) and is removed from all others; repeats within one document stay. Each row of ``docs`` gives one row;
+    rows alike in id and text are one document and are treated alike. Null, empty and short texts stay as they are, an
+    empty table gives no rows. Columns of ``docs`` that are named as the two new ones are replaced.
+    """
+    found = _without(docs, least_words, least)
+    others = [c for c in docs.columns if c not in ("text", "removed", "first_doc_ids")]
+    return found.select(*[F.col(f"row.`{c}`").alias(c) for c in others], "text", "removed", F.col("kept_by").alias("first_doc_ids"))
 
 
 def passages_removed(docs: DataFrame) -> DataFrame:
@@ -298,6 +320,7 @@ def passages_removed(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs``, repeated passages removed; documents of which nothing but marks is left go."""
-    found = deduplicated(docs)
+    found = _without(docs, LEAST_WORDS, SIMILARITY)
     left = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", "")) > 0
-    return found.where(F.col("removed").isNull() | left).select(*docs.columns)
+    kept = found.where(F.col("removed").isNull() | left)
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from courtside.llm import decontaminate, near_dedup, quality_fm, substring_dedup, toxicity
-from courtside.llm.common import components, words_of
+from courtside.llm.common import WORD, components, hashed_words, words_of
 from courtside.llm.queries import QUERIES
 from llm.llm_fixtures import EDGES, SF, documents, edited, fold, prose
 
@@ -134,14 +134,84 @@ def test_substrings(spark):
     assert substring_dedup.passages_removed(documents(spark, [])).count() == 0
 
 
-def test_substring_query_leaves_no_long_common_run(spark):
+def test_no_run_of_fifty_words_is_left(spark):
+    """Brute force over the whole table: each 50-word run is left in one document, and only shared words have gone."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = {}
-    for row in substring_dedup.without_repeats(docs).collect():
-        words = [x.lower() for x in substring_dedup.WORD.findall(row["text"])]
-        for k in range(len(words) - 79):
-            owner = seen.setdefault(tuple(words[k : k + 80]), row["doc_id"])
-            assert owner == row["doc_id"]
+    places = {r["doc_id"]: [m.span() for m in WORD.finditer(r["text"] or "")] for r in docs.collect()}
+    words = {r["doc_id"]: [r["text"][a:b].lower() for a, b in places[r["doc_id"]]] for r in docs.collect()}
+    runs, small = {}, {}
+    needed = {i: set() for i in words}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 49):
+            if runs.setdefault(tuple(words[i][k : k + 50]), i) != i:
+                needed[i].update(range(k, k + 50))
+    for i in sorted(words):
+        for k in range(len(words[i]) - 4):
+            small.setdefault(tuple(words[i][k : k + 5]), i)
+    gone = {i: set() for i in words}
+    for row in QUERIES["op2_substring_dedup"](spark, SF).collect():
+        i = row["doc_id"]
+        for x in row["removed"]:
+            gone[i].update(k for k, (a, b) in enumerate(places[i]) if x["start"] <= a and b <= x["end"])
+        assert len(gone[i]) == row["removed_words"] >= 50
+        shared = set().union(*[range(k, k + 5) for k in range(len(words[i]) - 4) if small[tuple(words[i][k : k + 5])] < i])
+        assert len(gone[i] & shared) >= 0.8 * len(gone[i])
+    assert sum(map(len, needed.values())) > 1000 and all(needed[i] <= gone[i] for i in words)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 4])
+def test_edited_passages_are_found_whole(spark, edits):
+    places = [(j + 1) * 120 // (edits + 1) - 1 for j in range(edits)]
+    texts = []
+    for k in range(10):
+        passage = prose(1000 + k, 120)
+        texts.append((k, f"{prose(2000 + k, 60)} {passage} {prose(3000 + k, 50)}"))
+        texts.append((100 + k, f"{prose(4000 + k, 40)} {edited(passage, places)} {prose(5000 + k, 70)}"))
+    found = {r["doc_id"]: r for r in substring_dedup.passages_removed(documents(spark, texts)).collect()}
+    assert set(found) == set(range(100, 110)) and all(r["removed_words"] == 120 for r in found.values())
+    assert all(found[100 + k]["first_doc_ids"] == [k] for k in range(10))
+
+
+def test_neighbours_from_two_documents_are_no_passage(spark):
+    """Forty words of one document next to forty of another: no fifty words repeat."""
+    texts = [(k, f"{prose(k, 40)} {prose(10_000 + k, 40)}") for k in range(60)]
+    texts += [(1000 + k, f"{prose(k, 40)} {prose(10_000 + (k + 1) % 60, 40)}") for k in range(60)]
+    assert substring_dedup.passages_removed(documents(spark, texts)).count() == 0
+
+
+def test_a_chain_of_copies_is_kept_once(spark):
+    """Two passages meet in a third document; a long text, one word repeated, and columns named as the operator's own."""
+    one, two = prose(31, 70), prose(32, 90)
+    long = " ".join([prose(33, 9_000), two, prose(34, 3_000)])
+    texts = [(5, one), (6, f"{prose(35, 20)} {one} {two}"), (7, f"{two} {prose(36, 30)} {one}"), (8, long), (9, "word " * 5_000), (10, f"{prose(37, 60)} {'word ' * 300}")]
+    rows = [(i, t, 0, "x", 1, "r", "k") for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc long, removed string, first_doc_ids int, row string, kept_by string")
+    found = {r["doc_id"]: (r["removed_words"], r["first_doc_ids"]) for r in substring_dedup.passages_removed(docs).collect()}
+    assert found == {6: (70, [5]), 7: (160, [5, 6]), 8: (90, [6]), 10: (300, [9])}
+    kept = substring_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns and {r["doc_id"]: len(words_of(r["text"])) for r in kept.collect()}[7] == 30
+    assert {r["removed"] for r in kept.collect()} == {"x"}
+
+
+def test_seeds_are_the_minima_of_all_paragraphs():
+    words = np.random.default_rng(4).integers(0, 2**63, 500).astype(np.uint64)
+    for n in (5, 12, 24, 60, 500):
+        hashes = substring_dedup.rolling(words[:n], 5)
+        width = min(20, len(hashes))
+        plain = sorted({k + int(np.argmin(hashes[k : k + width])) for k in range(len(hashes) - width + 1)})
+        assert substring_dedup.seeds(words[:n])[1].tolist() == plain
+
+
+def test_hashed_words_are_the_words(spark):
+    texts = ["", "a", "Éa_b 12,é\u0301 İx ſ ß日本 \U0001f600 x\u00a0y", prose(1, 300)]
+    known = {}
+    for text in texts:
+        hashes, starts, ends = hashed_words(text)
+        assert [m.span() for m in WORD.finditer(text)] == list(zip(starts.tolist(), ends.tolist(), strict=True))
+        for h, a, b in zip(hashes.tolist(), starts, ends, strict=True):
+            plain = "".join(c.lower() if len(c.lower()) == 1 else c for c in text[a:b])
+            assert known.setdefault(h, plain) == plain
+    assert len(set(known.values())) == len(known)
 
 
 ITEMS = [(1, "If Anna has 12 apples and gives 5 apples to Peter, how many kg of apples are left for Anna after 3 days?"), (2, "Two short words"), (3, prose(90, 30)), (None, prose(91, 30)), (4, None), (4, "")]
