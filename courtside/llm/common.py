@@ -85,22 +85,33 @@ class Powers:
         return cls.up[:n], cls.down
 
 
-def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the text's words whatever their case, and the places where each starts and ends.
+@lru_cache(maxsize=1)
+def exact_numbers() -> np.ndarray:
+    """A random number for every code point."""
+    return mix(np.arange(1, 0x110001, dtype=np.uint64))
+
 
-    The words are those of WORD. A word's hash is a polynomial in its characters' numbers: one running sum over the
-    text holds them all, a word's is the difference at its ends divided by the power at its start.
+def span_hashes(points: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]], numbers: np.ndarray | None = None) -> list[np.ndarray]:
+    """64-bit hashes of spans (starts, ends) of a text's code points; ``numbers`` gives each point's own.
+
+    A span's hash is a polynomial in its characters' numbers: one running sum over the text holds them all, a
+    span's is the difference at its ends divided by the power at its start.
     """
+    up, down = Powers.of(len(points) + 1)
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((exact_numbers() if numbers is None else numbers)[points] * up[: len(points)], out=sums[1:])
+    return [mix((sums[ends] - sums[starts]) * down[starts]) for starts, ends in spans]
+
+
+def hashed_words(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the text's words whatever their case, and the places where each starts and ends; the words are those of WORD."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     in_word, numbers = code_points()
     inside = np.zeros(len(points) + 2, np.int8)
     inside[1:-1] = in_word[points]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = Powers.of(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(numbers[points] * up[: len(points)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts, ends
+    return span_hashes(points, [(starts, ends)], numbers)[0], starts, ends
 
 
 def words_of(text: str | None) -> list[str]:

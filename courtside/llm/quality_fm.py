@@ -6,16 +6,15 @@ half of the sum over factors of (sum v x)^2 - sum (v x)^2.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import HASHES, words_of
+from courtside.llm.common import HASHES, hashed_words, mix, span_hashes
 from courtside.llm.labels import MOST_BROADCAST, held_out, training_labels
 
 WORD_SLOTS = 1 << 14
@@ -24,8 +23,6 @@ FACTORS = 8
 #: Labelled rows that are learnt from: at most this many of each class, by the smallest hashes of their ids.
 MOST_PER_CLASS = 4_000
 
-NOT_SPACE = re.compile(r"\S+")
-
 STATISTICS = [
     "letters", "capitals", "digits", "symbols", "stops", "spaces", "word_size", "first_capitals", "end_symbols",
     "distinct_words", "repeated_pairs", "top_word", "repeated_lines", "line_words", "bare_words", "words", "chars", "metadata_chars",
@@ -33,38 +30,95 @@ STATISTICS = [
 SLOTS = WORD_SLOTS + STAT_LEVELS * len(STATISTICS)
 
 
+#: Kinds of characters, a bit each.
+SPACE, LETTER, CAPITAL, DIGIT, SYMBOL, STOP, UPPER, ALNUM = (1 << k for k in range(8))
+SYMBOLS, STOPS, COMMA = "#*$%&|<>{}[]\\/=~^_@+", ".!?;:", ord(",")
+COUNTED = np.array([[k & bit > 0 for k in range(256)] for bit in (LETTER, CAPITAL, DIGIT, SYMBOL, STOP)], np.int64)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kinds of every code point."""
+
+    def of(c: str) -> int:
+        alnum, digit = c.isalnum(), c.isdecimal()
+        return (
+            SPACE * c.isspace() | LETTER * (alnum and not digit) | DIGIT * digit | SYMBOL * (c in SYMBOLS) | STOP * (c in STOPS) | UPPER * c.isupper() | ALNUM * alnum
+            | CAPITAL * ("A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×")
+        )
+
+    return np.fromiter(map(of, map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
+def repeats(values: np.ndarray) -> np.ndarray:
+    """How often each different value occurs."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    ordered = np.sort(values)
+    return np.diff(np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]]))
+
+
 def statistics(text: str, n_chars: int | None) -> list[float]:
-    """The text's structure, each value from 0 to 1; ``n_chars`` is the row's own metadata and may be missing."""
-    words = text.split()
-    n, chars = max(1, len(words)), max(1, len(text))
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
-    capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
-    pairs = Counter(zip(words, words[1:], strict=False))
-    counted = Counter(words)
-    lines = [x for x in text.split("\n") if x.strip()]
+    """The text's structure, each value from 0 to 1; ``n_chars`` is the row's own metadata and may be missing.
+
+    Words are what white space separates, lines what line ends separate, without blank ones. Equal ones have equal
+    differences of one running sum over the characters, see :func:`~courtside.llm.common.span_hashes`.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    kind = kinds()[points]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (kind & SPACE) == 0, [0]]).astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    n, chars = max(1, len(starts)), max(1, len(text))
+    letters, capitals, digits, symbols, stops = (COUNTED @ np.bincount(kind, minlength=256)).tolist()
+    breaks = np.flatnonzero(points == 10)
+    line_starts, line_ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(points)]])
+    filled = np.concatenate([[0], np.cumsum((kind & SPACE) == 0)])
+    known = np.concatenate([[0], np.cumsum((kind & ALNUM) > 0)])
+    full = filled[line_ends] > filled[line_starts]
+    words, lines = span_hashes(points, [(starts, ends), (line_starts[full], line_ends[full])])
+    counted = repeats(words)
+    pairs = repeats(mix(words[:-1]) + words[1:])
+    n_lines = int(full.sum())
+    last = points[ends - 1]
+    odd_end = (kind[ends - 1] & (ALNUM | STOP) == 0) & (last != COMMA)
     size = lambda x: min(1.0, np.log2(1 + x) / 20)
     return [
         letters / chars,
         capitals / max(1, letters),
-        len(re.findall(r"\d", text)) / chars,
-        min(1.0, 5 * len(re.findall(r"[#*$%&|<>{}\[\]\\/=~^_@+]", text)) / chars),
-        min(1.0, len(re.findall(r"[.!?;:]", text)) / n),
+        digits / chars,
+        min(1.0, 5 * symbols / chars),
+        min(1.0, stops / n),
         text.count(" ") / chars,
-        min(1.0, sum(map(len, words)) / n / 20),
-        sum(x[:1].isupper() for x in words) / n,
-        sum(not x[-1].isalnum() and x[-1] not in ".,;:!?" for x in words) / n,
+        min(1.0, int((ends - starts).sum()) / n / 20),
+        int(((kind[starts] & UPPER) > 0).sum()) / n,
+        int(odd_end.sum()) / n,
         len(counted) / n,
-        sum(v for v in pairs.values() if v > 1) / n,
-        max(counted.values(), default=0) / n,
-        1 - len(set(lines)) / max(1, len(lines)),
-        size(n / max(1, len(lines))),
-        sum(not any(c.isalnum() for c in x) for x in words) / n,
-        size(len(words)),
+        int(pairs[pairs > 1].sum()) / n,
+        int(counted.max(initial=0)) / n,
+        1 - len(repeats(lines)) / max(1, n_lines),
+        size(n / max(1, n_lines)),
+        int((known[ends] == known[starts]).sum()) / n,
+        size(len(starts)),
         size(len(text)),
         size(n_chars or 0),
     ]
 
 
+#: Slots of words that this worker has seen, by the words' hashes; emptied when it holds too many.
+SEEN: dict[int, int] = {}
+
+
+def word_slots(text: str, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The slot of each word of ``text``, given by hash and place."""
+    if len(SEEN) > 200_000:
+        SEEN.clear()
+    out = list(map(SEEN.get, words.tolist()))
+    for k, slot in enumerate(out):
+        if slot is None:
+            SEEN[int(words[k])] = out[k] = HASHES[text[starts[k] : ends[k]].lower()] % WORD_SLOTS
+    return np.array(out, np.int64)
+
+
 def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values: words' log counts scaled to unit length, and each statistic as two neighbouring levels."""
     text = text or ""
@@ -72,8 +126,11 @@ def features(text: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndar
     low = np.minimum(values.astype(np.int64), STAT_LEVELS - 2)
     base = WORD_SLOTS + STAT_LEVELS * np.arange(len(values))
     part = values - low
-    hashes = HASHES.of(words_of(text))
-    slots, counts = np.unique((hashes % np.uint64(WORD_SLOTS)).astype(np.int64), return_counts=True)
+    hashes, starts, ends = hashed_words(text)
+    words, first, times = np.unique(hashes, return_index=True, return_counts=True)
+    found = word_slots(text, words, starts[first], ends[first])
+    slots, place = np.unique(found, return_inverse=True)
+    counts = np.bincount(place, times, len(slots))
     weights = np.log1p(counts)
     weights /= max(1e-9, np.sqrt((weights**2).sum()))
     scale = 1 / np.sqrt(len(values))

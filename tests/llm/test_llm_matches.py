@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -214,6 +215,33 @@ def test_hashed_words_are_the_words(spark):
     assert len(set(known.values())) == len(known)
 
 
+def plain_statistics(text, n_chars):
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    n, chars = max(1, len(words)), max(1, len(text))
+    letters = len(re.findall(r"[^\W\d_]", text))
+    pairs, counted = Counter(zip(words, words[1:], strict=False)), Counter(words)
+    size = lambda x: min(1.0, np.log2(1 + x) / 20)
+    return [
+        letters / chars, len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text)) / max(1, letters), len(re.findall(r"\d", text)) / chars,
+        min(1.0, 5 * len(re.findall(r"[#*$%&|<>{}\[\]\\/=~^_@+]", text)) / chars), min(1.0, len(re.findall(r"[.!?;:]", text)) / n), text.count(" ") / chars,
+        min(1.0, sum(map(len, words)) / n / 20), sum(x[0].isupper() for x in words) / n, sum(not x[-1].isalnum() and x[-1] not in ".,;:!?" for x in words) / n,
+        len(counted) / n, sum(v for v in pairs.values() if v > 1) / n, max(counted.values(), default=0) / n, 1 - len(set(lines)) / max(1, len(lines)),
+        size(n / max(1, len(lines))), sum(not any(c.isalnum() for c in x) for x in words) / n, size(len(words)), size(len(text)), size(n_chars or 0),
+    ]
+
+
+def test_statistics_are_the_plain_ones(spark):
+    texts = ["", " ", "\n\n a\n\tb ", "É×Þ ß _x. a,b! \u00a0z\u2028q \x1cx", "a a a a\na a a a\n\n", "İ ǅ ²½ 日本\U0001f600 # # -", prose(5, 9_000) + " tail" * 20_000]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for text in texts:
+        assert np.abs(np.array(quality_fm.statistics(text, 7)) - np.array(plain_statistics(text, 7))).max() < 1e-12
+        slots, values = quality_fm.features(text, 7)
+        counts = Counter(quality_fm.HASHES[w] % quality_fm.WORD_SLOTS for w in words_of(text))
+        assert slots[: len(counts)].tolist() == sorted(counts) or "İ" in text
+        weights = np.log1p([counts[s] for s in sorted(counts)])
+        assert "İ" in text or np.allclose(values[: len(counts)], weights / max(1e-9, np.sqrt((weights**2).sum())))
+
+
 ITEMS = [(1, "If Anna has 12 apples and gives 5 apples to Peter, how many kg of apples are left for Anna after 3 days?"), (2, "Two short words"), (3, prose(90, 30)), (None, prose(91, 30)), (4, None), (4, "")]
 
 
