@@ -6,7 +6,7 @@ import bisect
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,7 +14,9 @@ from courtside.llm.common import stage
 from courtside.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
-SALTS = 256
+#: Pieces of one length that are numbered in one group, about; a length that most pieces have is cut into as many groups as that takes.
+GROUP = 500_000
+LEAST_GROUPS = 64
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -27,6 +29,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     def cut(batches):
         ids_of, width = encoder(tokenizer).ids, 4 * capacity
         end = end_id.to_bytes(4, "little")
+        made = 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -34,7 +37,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     crc = zlib.crc32(part)
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, crc, (crc ^ (doc_id or 0)) % SALTS))
+                    made += 1  # repeated rows get salts of their own
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, crc, (crc ^ 0x9E3779B1 * made) & 0x7FFFFFFF))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
@@ -100,40 +104,51 @@ def slot_runs(plans: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
     return runs
 
 
+def runs_by_length(spark: SparkSession, runs: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """(length, runs): the runs of each length by rising first rank. One row per length, and as many runs as the plan has classes."""
+    held: dict[int, list] = {}
+    for length, *run in runs:
+        held.setdefault(length, []).append(tuple(run))
+    schema = "length long, runs array<struct<first:long,number:long,sequence:long,each:long,offset:long>>"
+    return spark.createDataFrame([(length, sorted(found)) for length, found in held.items()], schema)
+
+
+def placed(ranked: DataFrame, runs: DataFrame) -> DataFrame:
+    """``ranked`` (length, rank) with sequence_id and offset: the run that holds the rank, then arithmetic.
+
+    No slot is ever listed, so a run may hold any number of pieces.
+    """
+    # a run that starts at rank 0 comes first, so at least one starts at or before any rank
+    run = F.element_at("runs", F.size(F.filter("runs", lambda x: x["first"] <= F.col("rank"))))
+    found = ranked.join(F.broadcast(runs), "length").withColumn("run", run)
+    into = F.col("rank") - F.col("run.first")
+    sequence, nth = F.expr("run.sequence + (rank - run.first) div run.each"), into % F.col("run.each")
+    return found.withColumns({"sequence_id": sequence, "offset": F.col("run.offset") + nth * F.col("length")}).drop("runs", "run")
+
+
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """Give each row of ``pieces`` (with length and salt, at most ``capacity`` long) a sequence_id and an offset.
 
-    The histogram has at most ``capacity`` rows, whatever the input: it alone goes to the driver. A piece's rank
-    within its length is its rank within (length, salt) plus what lower salts hold, so one length that a
-    third of the pieces share is counted in ``SALTS`` tasks. Slots are made by Spark from the plan's runs and
-    joined on (length, rank). ``pieces`` must be a staged or otherwise repeatable table: it is read twice.
-    An empty table gives no rows.
+    The histogram has at most ``capacity`` rows, whatever the input: it alone goes to the driver, and the plan's runs of
+    slots, one row per length, are all that is broadcast. A piece's rank within its length is its rank within a group of
+    the length (by salt) plus what the groups before it hold; there are as many groups as keep each small, so a length
+    that a third of the pieces share is spread. ``pieces`` must be a staged or otherwise repeatable table: it is read
+    several times. An empty table gives no rows.
     """
-    spark = pieces.sparkSession
-    counted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    counts = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    groups = max([LEAST_GROUPS, *(-(-n // GROUP) for n in counts.values())])
+    dealt = pieces.withColumn("salt", F.pmod(F.col("salt"), F.lit(groups)))
+    counted = dealt.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
-        pieces.withColumn("place", F.row_number().over(within))
+        dealt.withColumn("place", F.row_number().over(within))
         .join(first, ["length", "salt"])
         .withColumn("rank", F.col("base") + F.col("place") - 1)
     )
-    counts = {row["length"]: row["n"] for row in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = slot_runs(plan(counts, capacity))
-    columns = ["length", "first_rank", "number", "sequence", "each", "offset"]
-    slots = (
-        spark.createDataFrame(runs, ", ".join(f"{x} long" for x in columns))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("k"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("each") - 1)).alias("i"))
-        .select(
-            "length",
-            (F.col("first_rank") + F.col("k") * F.col("each") + F.col("i")).alias("rank"),
-            (F.col("sequence") + F.col("k")).alias("sequence_id"),
-            (F.col("offset") + F.col("i") * F.col("length")).alias("offset"),
-        )
-    )
-    return ranked.join(slots, ["length", "rank"]).drop("base", "place", "rank", "salt")
+    runs = runs_by_length(pieces.sparkSession, slot_runs(plan(counts, capacity)))
+    return placed(ranked, runs).drop("base", "place", "rank", "salt")
 
 
 def packed_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

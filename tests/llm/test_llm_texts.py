@@ -56,6 +56,33 @@ def check_packing(rows, texts, capacity):
     return len(sequences), sum(r["length"] for r in rows)
 
 
+def test_billions_of_equal_pieces_are_placed_by_arithmetic(spark):
+    """Two classes of three billion pieces: every rank asked for lies in one slot, without gaps, and no table of slots is made."""
+    counts = {1500: 3_000_000_000, 548: 2_999_999_999, 100: 7}
+    runs = packing.slot_runs(packing.plan(counts, 2048))
+    assert sum(number * each for length, _, number, _, each, _ in runs if length == 1500) == counts[1500]
+    asked = [(1500, k) for k in (0, 1, 12_345, 2_999_999_999)] + [(548, k) for k in (0, 2_999_999_998)] + [(100, k) for k in range(7)]
+    found = packing.placed(spark.createDataFrame(asked, "length long, rank long"), packing.runs_by_length(spark, runs)).collect()
+    assert len(found) == len(asked)
+    slots = [(r["sequence_id"], r["offset"], r["length"]) for r in found]
+    assert len(set(slots)) == len(slots) and all(0 <= at <= 2048 - length for _, at, length in slots)
+    assert max(s for s, *_ in slots) < 3_000_000_001
+
+
+def test_ranks_are_one_row_a_piece(spark):
+    """Every (length, rank) that the plan lists is placed at its own (sequence, offset), as a plain listing of the slots has it."""
+    counts = {7: 13, 5: 9, 4: 1, 3: 20, 1: 6}
+    runs = packing.slot_runs(packing.plan(counts, 16))
+    plain = {}
+    for length, first, number, sequence, each, offset in runs:
+        for k in range(number):
+            for i in range(each):
+                plain[length, first + k * each + i] = (sequence + k, offset + i * length)
+    asked = [(length, rank) for length, n in counts.items() for rank in range(n)]
+    found = packing.placed(spark.createDataFrame(asked, "length long, rank long"), packing.runs_by_length(spark, runs)).collect()
+    assert {(r["length"], r["rank"]): (r["sequence_id"], r["offset"]) for r in found} == plain
+
+
 def test_packing_small(spark):
     texts = [(k, prose(k, 5 + 37 * k % 400)) for k in range(60)] + [(99, prose(99, 3000))] + EDGES + [(7, prose(7, 5 + 37 * 7 % 400))]
     rows = packing.packed_documents(documents(spark, texts), PATH, capacity=256).collect()
