@@ -116,7 +116,8 @@ def chains(docs: DataFrame) -> DataFrame:
     """
     found = stage(all_seeds(docs), "seeds")
     shared = found.groupBy("m").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("m", "least")
-    held = stage(found.join(shared, "m"), "shared-seeds")
+    # dealt by document again, so that a seed with very many rows is spread over the files, and its joins can be split
+    held = stage(found.join(shared, "m").repartition("doc"), "shared-seeds")
     firsts = held.where("doc_id = least").groupBy("m").agg(F.min("doc").alias("source"))
     # the first document may hold a seed more than once: its first place counts
     places = held.where("doc_id = least").select("m", F.col("doc").alias("source"), "place").join(firsts, ["m", "source"])
