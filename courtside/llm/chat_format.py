@@ -138,7 +138,8 @@ def chat_digests(chats: DataFrame) -> DataFrame:
         "conv_id",
         "formatted",
         read_back(F.col("formatted")).alias("turns"),
-        plain(F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: x["text"]), "")).alias("learnt"),
+        # the mask is in places of the formatted string: cut there, nothing else tells what is learnt
+        plain(F.array_join(F.transform("loss_spans", lambda x: F.substring(F.col("formatted"), x["start"].cast("int") + 1, x["length"].cast("int"))), "")).alias("learnt"),
     )
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(

@@ -163,7 +163,7 @@ def block_features(block: Block, at: int, count: int) -> list[str]:
         f"words={min(6, (block.text.count(' ') + 2).bit_length() - 1)}",
         f"linked={int(block.linked * 4)}",
         f"stop={block.text[-1] in '.!?…”»'}",
-        "mark" if NOTICE.search(block.text[:2000]) else "no-mark",
+        "mark" if NOTICE.search(block.text) else "no-mark",
         f"place={'first' if at == 0 else 'last' if at == count - 1 else 'inner'}",
     ]
 
