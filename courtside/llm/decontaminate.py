@@ -5,21 +5,14 @@ and names is found as well, and a chance likeness of templates is not.
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import HASHES, rolling, signed
-
-CAPITALS = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
-#: A number, or a capitalised word (not all in capitals) that follows a word within a sentence.
-SPECIAL = re.compile(rf"\d+(?:[.,]\d+)*|(?:(?<=[^\W_] )|(?<=[^\W_], ))[{CAPITALS}](?![{CAPITALS}])[^\W\d_]*")
-MARKS = str.maketrans("", "", "\x01\x02")
-TOKEN = re.compile(r"[\x01\x02]|[^\W\d_]+|[%€$£°]")
+from courtside.llm.common import code_points, rolling, signed, span_hashes
 
 #: Units of measure that a number may stand before.
 UNITS = frozenset(
@@ -32,8 +25,8 @@ NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 WINDOW = 8
 #: A window needs this many literal words: placeholders alone say nothing.
 LITERALS = 4
-#: Items with fewer tokens than this cannot be told from chance; they match nothing.
-LEAST_TOKENS = 5
+#: Items without such a window are looked for in their own words, from this many tokens on anywhere in a text; shorter ones must be the whole text.
+LEAST_TOKENS = 4
 #: The share of an item's windows that one alignment must hold.
 COVERAGE = 0.5
 #: Windows of the benchmark whose hashes are broadcast at most (8 bytes each) to leave out other windows early.
@@ -42,35 +35,98 @@ MOST_HASHES = 4_000_000
 MOST_BROADCAST = 100_000
 
 
-def template(text: str | None) -> tuple[list[str], dict[int, str]]:
-    """Template tokens, and what each placeholder holds by its place among them.
+#: Kinds of characters, a bit each.
+LETTER, DIGIT, CAPITAL, WORD_CHARACTER, SIGN = (1 << k for k in range(5))
+LITERAL, IS_NUMBER, IS_NAME, IS_UNIT = range(4)
 
-    A number is a placeholder, and so is a unit that follows one. A name is a capitalised word, not all in capitals,
-    that follows another word in its sentence. All other words are literal, in lower case.
-    """
-    values = []
 
-    def mark(found):
-        values.append(found.group().lower())
-        return "\x01" if found.group()[0].isdigit() else "\x02"
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """The kinds of every code point: capitals are those of the Latin-1, Greek and Cyrillic alphabets."""
+
+    def of(c: str) -> int:
+        alnum, digit = c.isalnum(), c.isdecimal()
+        capital = "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" or "Α" <= c <= "Ω" or "А" <= c <= "Я"
+        return LETTER * (alnum and not digit) | DIGIT * digit | CAPITAL * capital | WORD_CHARACTER * alnum | SIGN * (c in "%€$£°")
+
+    return np.fromiter(map(of, map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
+def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of true flags start and end."""
+    padded = np.zeros(len(flags) + 2, np.int8)
+    padded[1:-1] = flags
+    edges = np.flatnonzero(padded[1:] != padded[:-1])
+    return edges[::2], edges[1::2]
+
 
-    tokens = TOKEN.findall(SPECIAL.sub(mark, (text or "").translate(MARKS)).lower())
-    slots, at = {}, iter(values)
-    if values:
-        for k, token in enumerate(tokens):
-            if token in "\x01\x02":
-                slots[k] = next(at)
-                tokens[k] = NUMBER if token == "\x01" else NAME
-            elif k and tokens[k - 1] == NUMBER and token in UNITS:
-                slots[k], tokens[k] = token, UNIT
-    return tokens, slots
+@lru_cache(maxsize=1)
+def constants() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the placeholders, by kind, and of the units, sorted."""
+    word = lambda x: span_hashes(np.array([ord(c) for c in x], "<u4"), [(np.array([0]), np.array([len(x)]))], code_points()[1])[0][0]
+    return np.array([0, word(NUMBER), word(NAME), word(UNIT)], np.uint64), np.array(sorted(map(word, UNITS)), np.uint64)
+
+
+class Template:
+    """A text's tokens: their kinds, places, hashes of the template and of the words themselves.
+
+    Tokens are runs of letters, numbers (with points and commas inside) and the signs %, €, $, £, °. A number is a placeholder,
+    and so is a unit that follows one. A name is a capitalised run, not all in capitals, that follows another word in its
+    sentence. All others are literal, whatever their case.
+    """
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = kinds()[points]
+        starts, ends = runs_of((kind & LETTER) > 0)
+        numbers, number_ends = runs_of((kind & DIGIT) > 0)
+        if len(numbers) > 1:
+            between = points[number_ends[:-1]]
+            apart = np.concatenate([[True], ~((numbers[1:] - number_ends[:-1] == 1) & ((between == 0x2E) | (between == 0x2C)))])
+            numbers, number_ends = numbers[apart], number_ends[np.concatenate([np.flatnonzero(apart)[1:] - 1, [len(number_ends) - 1]])]
+        signs = np.flatnonzero(kind & SIGN)
+        before = lambda k: points[np.maximum(starts - k, 0)] * (starts >= k)
+        kind_before = lambda k: kind[np.maximum(starts - k, 0)] * (starts >= k)
+        follows = (before(1) == 0x20) & (((kind_before(2) & WORD_CHARACTER) > 0) | ((before(2) == 0x2C) & ((kind_before(3) & WORD_CHARACTER) > 0)))
+        second = kind[np.minimum(starts + 1, max(0, len(kind) - 1))] * (starts + 1 < len(kind))
+        names = follows & ((kind[starts] & CAPITAL) > 0) & ((second & CAPITAL) == 0)
+        every = np.concatenate([starts, numbers, signs])
+        order = np.argsort(every, kind="stable")
+        self.starts, self.ends = every[order], np.concatenate([ends, number_ends, signs + 1])[order]
+        self.kinds = np.concatenate([np.where(names, IS_NAME, LITERAL), np.full(len(numbers), IS_NUMBER), np.zeros(len(signs), np.int64)])[order]
+        self.plain = span_hashes(points, [(self.starts, self.ends)], code_points()[1])[0]
+        placeholders, units = constants()
+        after_number = np.flatnonzero((self.kinds[1:] == LITERAL) & (self.kinds[:-1] == IS_NUMBER)) + 1
+        if len(after_number):
+            self.kinds[after_number[np.isin(self.plain[after_number], units)]] = IS_UNIT
+        self.hashes = np.where(self.kinds == LITERAL, self.plain, placeholders[self.kinds])
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all windows, and which of them have enough literal words; none in a shorter text."""
+        if len(self.hashes) < WINDOW:
+            return np.zeros(0, np.uint64), np.zeros(0, bool)
+        held = np.concatenate([[0], np.cumsum(self.kinds != LITERAL)])
+        return rolling(self.hashes, WINDOW), WINDOW - (held[WINDOW:] - held[:-WINDOW]) >= LITERALS
+
+    def slots(self, at: int) -> list[dict]:
+        """The (place, value) of the placeholders in the window at token ``at``."""
+        stop = min(at + WINDOW, len(self.kinds))
+        return [{"place": k - at, "value": self.text[self.starts[k] : self.ends[k]].lower()} for k in range(at, stop) if self.kinds[k] != LITERAL]
+
+
+def among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` are in the sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
 
 
 def template_windows(rows: DataFrame, key: str, only: object = None) -> DataFrame:
-    """(key, at, width, hash, slots) of every window of each text in ``rows`` (key, text).
+    """(key, at, n_windows, hash, slots) of every window of each text in ``rows`` (key, text).
 
-    A text shorter than a window is one window. ``slots`` has the (place in the window, value) of placeholders. ``only``
-    is a broadcast of sorted hashes: windows outside it are left out before they reach the join.
+    ``slots`` has the (place in the window, value) of placeholders. ``only`` is a broadcast of sorted hashes: windows
+    outside it are left out before they reach the join.
     """
     schema = f"{key} long, at int, n_windows int, hash long, slots array<struct<place:int,value:string>>"
 
@@ -78,28 +134,19 @@ def template_windows(rows: DataFrame, key: str, only: object = None) -> DataFram
         for batch in batches:
             out = [[], [], [], [], []]
             for owner, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, slots = template(text.as_py())
-                if len(tokens) < LEAST_TOKENS:
-                    continue
-                width = min(WINDOW, len(tokens))
-                hashes = rolling(HASHES.of(tokens), width)
-                held = np.zeros(len(tokens) + 1, np.int64)
-                held[[k + 1 for k in slots]] = 1
-                held = np.cumsum(held)
-                good = width - (held[width:] - held[:-width]) >= min(LITERALS, width)
+                found = Template(text.as_py())
+                hashes, good = found.windows()
                 n_windows = int(good.sum())
                 if only is not None:
-                    known = only.value
-                    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-                    good &= known[at] == hashes if len(known) else False
+                    good = good & among(hashes, only.value)
                 for at in np.flatnonzero(good).tolist():
                     out[0].append(owner)
                     out[1].append(at)
                     out[2].append(n_windows)
                     out[3].append(hashes[at])
-                    out[4].append([{"place": k, "value": slots[at + k]} for k in range(width) if at + k in slots])
-            kinds = [pa.int64(), pa.int32(), pa.int32()]
-            columns = [pa.array(x, k) for x, k in zip(out, kinds, strict=False)]
+                    out[4].append(found.slots(at))
+            kinds_ = [pa.int64(), pa.int32(), pa.int32()]
+            columns = [pa.array(x, k) for x, k in zip(out, kinds_, strict=False)]
             columns.append(pa.array(signed(np.array(out[3], np.uint64))))
             columns.append(pa.array(out[4], pa.list_(pa.struct([("place", pa.int32()), ("value", pa.string())]))))
             yield pa.RecordBatch.from_arrays(columns, [key, "at", "n_windows", "hash", "slots"])
@@ -107,6 +154,53 @@ def template_windows(rows: DataFrame, key: str, only: object = None) -> DataFram
     return rows.select(key, "text").mapInArrow(cut, schema)
 
 
+def exact_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n, hash) of the items that have no window: the number of their tokens, and a hash of their own words."""
+
+    def cut(batches):
+        for batch in batches:
+            ids, sizes, hashes = [], [], []
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Template(text.as_py())
+                if len(found.plain) and not found.windows()[1].any():
+                    ids.append(owner)
+                    sizes.append(len(found.plain))
+                    hashes.append(rolling(found.plain, len(found.plain))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signed(np.array(hashes, np.uint64)))], ["item_id", "n", "hash"])
+
+    return benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(cut, "item_id long, n int, hash long").distinct()
+
+
+def exact_leaks(keyed: DataFrame, items: DataFrame) -> DataFrame:
+    """(text_key, item_id): texts of ``keyed`` (text_key, text) that hold an exact item, word for word.
+
+    Items of fewer than LEAST_TOKENS tokens must be the whole text: a word or two say nothing elsewhere. The lengths of the items,
+    and in the usual case their hashes, are all that is sent along; without such items the texts are not read.
+    """
+    lengths = sorted(row["n"] for row in items.select("n").distinct().collect())
+    if not lengths:
+        return keyed.where("false").select("text_key", F.lit(None).cast("long").alias("item_id"))
+    known = items.select("hash").distinct().limit(MOST_HASHES + 1).toPandas()["hash"].to_numpy(np.int64)
+    only = keyed.sparkSession.sparkContext.broadcast(np.sort(known.view(np.uint64))) if len(known) <= MOST_HASHES else None
+
+    def cut(batches):
+        for batch in batches:
+            owners, sizes, hashes = [], [], []
+            for owner, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                plain = Template(text.as_py()).plain
+                for n in lengths:
+                    if n == len(plain) or LEAST_TOKENS <= n < len(plain):
+                        found = np.unique(rolling(plain, n))
+                        found = found if only is None else found[among(found, only.value)]
+                        owners += [owner] * len(found)
+                        sizes += [n] * len(found)
+                        hashes += found.tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signed(np.array(hashes, np.uint64)))], ["text_key", "n", "hash"])
+
+    found = keyed.select("text_key", "text").mapInArrow(cut, "text_key long, n int, hash long")
+    return found.join(items, ["n", "hash"]).select("text_key", "item_id").distinct()
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -141,7 +235,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     )
     share = F.col("hits") / F.greatest(F.col("n_windows"), F.lit(1))
     held = gathered.where(one_to_one & (share >= coverage))
-    return held.groupBy("text_key", "item_id").agg(F.max(share).alias("coverage"))
+    exact = exact_leaks(keyed, exact_items(benchmark)).select("text_key", "item_id", F.lit(1.0).alias("coverage"))
+    return held.select("text_key", "item_id", share.alias("coverage")).union(exact).groupBy("text_key", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -153,5 +248,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` whose text holds no item of ``benchmark``; all columns, null and empty texts and ids stay."""
-    found = leaks(docs, benchmark, coverage).select(F.col("text_key").alias("leaked_key")).distinct()
-    return docs.join(found, text_key(F.col("text")) == F.col("leaked_key"), "left_anti")
+    found = leaks(docs, benchmark, coverage).select(F.col("text_key").alias("key")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_key(F.col("text")).alias("key"))
+    return rows.join(found, "key", "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

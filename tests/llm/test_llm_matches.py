@@ -253,13 +253,56 @@ def test_leaks(spark):
     texts = [(k, prose(20 + k, 100)) for k in range(10)] + [(50, same), (51, other), (52, mixed), (53, f"x {prose(90, 30)} y"), (54, prose(91, 30)), (55, "Two short words"), (50, same)] + EDGES
     docs = documents(spark, texts)
     found = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect())
-    assert found == Counter([(50, 1), (51, 1), (53, 3)])
+    assert found == Counter([(50, 1), (51, 1), (53, 3), (55, 2)])
     kept = decontaminate.decontaminate(docs, benchmark)
-    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in texts if i not in (50, 51, 53))
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, _ in texts if i not in (50, 51, 53, 55))
     assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
     assert decontaminate.contaminated(documents(spark, []), benchmark).count() == 0
 
 
+def test_short_items_are_found_word_for_word(spark):
+    """Items without a template window: anywhere from four tokens on, shorter ones as whole texts; columns named as the operator's own."""
+    items = ["What is 12 + 7 * 31 - 4 / 2 ?", "Solve 3 x + 4 = 19", "Compute 15 % of 80 kg", "the quick brown fox jumps", "Yes", "1 2 3 4 5 6 7 8 9 10 11"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [(k, f"{prose(k, 30)} {x} {prose(50 + k, 9_000 if k == 1 else 20)}") for k, x in enumerate(items)]
+    texts += [(10, "yes!"), (11, "Solve 4 x + 4 = 19"), (12, prose(70, 50)), (13, "COMPUTE 15% of 80 KG"), (14, "9 10 11 1 2 3 4 5 6 7 8")]
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in texts], "doc_id long, text string, key long, row string, leaked_key int")
+    found = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, benchmark).collect())
+    assert found == [(0, 0), (1, 1), (2, 2), (3, 3), (5, 5), (10, 4), (13, 2)]
+    kept = decontaminate.decontaminate(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [4, 11, 12, 14]
+
+
+CAPITALS = "A-ZÀ-ÖØ-ÞΑ-ΩА-Я"
+
+
+def plain_template(text):
+    """Template tokens and the values of the placeholders, by regular expressions over the text."""
+    special = re.compile(rf"\d+(?:[.,]\d+)*|(?:(?<=[^\W_] )|(?<=[^\W_], ))[{CAPITALS}](?![{CAPITALS}])[^\W\d_]*")
+    tokens, values, at = [], {}, 0
+    for found in special.finditer(text + " "):
+        tokens += [(x.lower(), None) for x in re.findall(r"[^\W\d_]+|[%€$£°]", text[at : found.start()])]
+        tokens.append((decontaminate.NUMBER if found.group()[0].isdecimal() else decontaminate.NAME, found.group().lower()))
+        at = found.end()
+    tokens += [(x.lower(), None) for x in re.findall(r"[^\W\d_]+|[%€$£°]", text[at:])]
+    for k, (token, value) in enumerate(tokens):
+        if value is None and k and tokens[k - 1][0] == decontaminate.NUMBER and token in decontaminate.UNITS:
+            tokens[k] = (decontaminate.UNIT, token)
+    return [t for t, _ in tokens], {k: v for k, (_, v) in enumerate(tokens) if v is not None}
+
+
+def test_templates_are_the_plain_ones(spark):
+    shown = {decontaminate.IS_NUMBER: decontaminate.NUMBER, decontaminate.IS_NAME: decontaminate.NAME, decontaminate.IS_UNIT: decontaminate.UNIT}
+    texts = ["", "a", "12", "Mr Bell 3.5,7. 4,, kg", "x Anna, Bob ANNA aNna A b Z", "abc12def 15 % of 80 kg", "5 km 3 € 1.000,5", "É Ñandu é Ñ_ñ ² ½ 3²", " Anna", "a  Bob, Carl", "1.", ".1 2 , 3"]
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for text in texts:
+        found = decontaminate.Template(text)
+        words = [text[a:b].lower() for a, b in zip(found.starts, found.ends, strict=True)]
+        tokens = [shown.get(k, w) for k, w in zip(found.kinds.tolist(), words, strict=True)]
+        assert (tokens, {k: w for k, (w, kind) in enumerate(zip(words, found.kinds, strict=True)) if kind}) == plain_template(text)
+
+
+
 def test_leaks_query(spark):
     import re
 
