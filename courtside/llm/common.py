@@ -63,10 +63,10 @@ HASHES = WordHashes()
 @lru_cache(maxsize=1)
 def code_points() -> tuple[np.ndarray, np.ndarray]:
     """Of every code point: whether it is part of a word (what WORD matches), and a random number for its lower case."""
-    texts = [chr(k) for k in range(0x110000)]
-    lower = (low if len(low := c.lower()) == 1 else c for c in texts)
-    numbers = np.fromiter(map(ord, lower), np.uint64, len(texts))
-    return np.fromiter((c.isalnum() for c in texts), bool, len(texts)), mix(numbers + np.uint64(1))
+    every = range(0x110000)
+    lower = (ord(low) if len(low := c.lower()) == 1 else ord(c) for c in map(chr, every))
+    numbers = np.fromiter(lower, np.uint64, len(every))
+    return np.fromiter(map(str.isalnum, map(chr, every)), bool, len(every)), mix(numbers + np.uint64(1))
 
 
 class Powers:
