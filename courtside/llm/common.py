@@ -27,6 +27,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of one batch of rows that goes to a Python worker, at most (one row where that is more).
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session cut batches for Python workers by bytes: texts differ too much in length to count rows.
+
+    A batch lies in memory several times, in the JVM and in the worker. A smaller setting of the session's own stays.
+    """
+    found = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(BATCH_SETTING).lower())
+    current = int(found[1]) << 10 * ["", "k", "m", "g"].index(found[2]) if found else 0
+    if not 0 < current <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
@@ -34,6 +50,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     later read takes only the columns it needs.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtside.llm.common import HASHES, components, mix, rolling, signed, stage, words_of
+from courtside.llm.common import components, hashed_words, mix, rolling, signed, stage
 
 SHINGLE = 5
 ORDER = 2
@@ -32,7 +32,7 @@ SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 
 def word_hashes(text: str | None) -> np.ndarray:
     """32-bit hashes of the text's words."""
-    return HASHES.of(words_of(text)).astype(np.uint32)
+    return hashed_words(text or "")[0].astype(np.uint32)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:

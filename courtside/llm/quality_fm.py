@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from courtside.llm.common import HASHES, hashed_words, mix, span_hashes
 from courtside.llm.labels import MOST_BROADCAST, held_out, training_labels
@@ -110,7 +111,7 @@ SEEN: dict[int, int] = {}
 
 def word_slots(text: str, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The slot of each word of ``text``, given by hash and place."""
-    if len(SEEN) > 200_000:
+    if len(SEEN) > 100_000:
         SEEN.clear()
     out = list(map(SEEN.get, words.tolist()))
     for k, slot in enumerate(out):
@@ -209,31 +210,37 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_P
     return fit_machine([(np.array(row["slots"]), np.array(row["values"], float), row["label"]) for row in frame])
 
 
-def scored(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the score of quality, 0 to 1, in the new column ``name``.
+def scored(docs: DataFrame, labels: DataFrame, name: str, at_least: float = 0.0) -> DataFrame:
+    """``docs`` with the score of quality, 0 to 1, in the new column ``name``; rows that score under ``at_least`` are left out.
 
     Inputs of a score are the text and n_chars only; null texts count as empty, a missing n_chars as 0.
     Without labels of both classes the score is a constant: 0.5 without any, else near that class.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels))
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    names, text_at = docs.columns, docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def score(text, n_chars):
-        import pandas as pd
-
+    def score(batches):
         machine = shared.value
-        margins = [machine.margin(*features(t, None if n is None or n != n else int(n))) for t, n in zip(text, n_chars, strict=True)]
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(margins, float), -30, 30))))
+        for batch in batches:
+            n_chars = batch.column(len(names)).to_pylist()
+            margins = [machine.margin(*features(t.as_py(), n)) for t, n in zip(batch.column(text_at), n_chars, strict=True)]
+            scores = 1 / (1 + np.exp(-np.clip(np.array(margins, float), -30, 30)))
+            out = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(scores)], [*names, name])
+            yield out.filter(pa.array(scores >= at_least)) if at_least else out
 
-    return docs.withColumn(name, score("text", metadata(docs)))
+    # the row's own n_chars comes last, as a number, under a name that no column of the row can have
+    own = metadata(docs).alias("/".join([name, *names]))
+    return docs.select(*[F.col(f"`{c}`") for c in names], own).mapInArrow(score, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``, null ids and repeated rows included: doc_id, held_out, score, predicted (score >= ``threshold``)."""
-    found = scored(docs, labels, "score")
+    found = scored(docs.select("doc_id", "text", *["n_chars"] * ("n_chars" in docs.columns)), labels, "score")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with their columns."""
-    return scored(docs, labels, "__quality").where(F.col("__quality") >= threshold).select(*docs.columns)
+    name = "/".join(["quality", *docs.columns])
+    return scored(docs, labels, name, threshold).drop(name)

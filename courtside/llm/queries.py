@@ -24,6 +24,7 @@ from courtside.llm import (
     toxicity,
     url_filter,
 )
+from courtside.llm.common import bound_batches
 from courtside.llm.oracle import ORACLE
 from courtside.llm.url_filter import Rule
 
@@ -31,6 +32,7 @@ ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
