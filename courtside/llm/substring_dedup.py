@@ -115,7 +115,8 @@ def chains(docs: DataFrame) -> DataFrame:
     costs a row for each, never a pair: counts and minima are partial aggregates, the joins are ones that Spark splits.
     """
     found = stage(all_seeds(docs), "seeds")
-    shared = found.groupBy("m").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("m", "least")
+    # written first: a join can split a hot key only where both sides come straight from a shuffle
+    shared = stage(found.groupBy("m").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1").select("m", "least"), "repeated-seeds")
     # dealt by document again, so that a seed with very many rows is spread over the files, and its joins can be split
     held = stage(found.join(shared, "m").repartition("doc"), "shared-seeds")
     firsts = held.where("doc_id = least").groupBy("m").agg(F.min("doc").alias("source"))
