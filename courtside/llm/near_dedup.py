@@ -176,7 +176,8 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edits and small, which is where a pair far from a large bucket's middle is found.
     """
     members = rows.select("text_id", "n", F.explode("sketches").alias("sketch")).distinct()
-    leaders = members.groupBy("sketch").agg(F.min("text_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    # written first: a join can split a hot key only where both sides come straight from a shuffle
+    leaders = stage(members.groupBy("sketch").agg(F.min("text_id").alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
     buckets = stage(members.join(leaders, "sketch"), "buckets")
     # the words of the texts in buckets, one row each: gathered once, small next to the corpus
     needed = buckets.select("text_id").distinct()
