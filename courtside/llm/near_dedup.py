@@ -193,9 +193,8 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     )
     known = stage(align(first, texts, least), "aligned")
     judged = stars.withColumns({"a": F.least("text_id", "leader"), "b": F.greatest("text_id", "leader")}).join(known, ["a", "b"])
-    middle = judged.groupBy("sketch").agg(
-        F.max(F.struct("similarity", "text_id")).alias("best"), F.min("similarity").alias("worst")
-    ).where(F.col("worst") < least).select("sketch", F.col("best.text_id").alias("middle"))
+    best = judged.groupBy("sketch").agg(F.max(F.struct("similarity", "text_id")).alias("best"), F.min("similarity").alias("worst"))
+    middle = stage(best.where(F.col("worst") < least).select("sketch", F.col("best.text_id").alias("middle")), "middles")
     second = judged.join(middle, "sketch").where("text_id != middle").select(*ordered(F.col("text_id"), F.col("middle"))).distinct()
     fresh = second.join(known.select("a", "b"), ["a", "b"], "left_anti")
     return known.union(align(fresh, texts, least)).where(F.col("similarity") >= least)
