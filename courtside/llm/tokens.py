@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -14,22 +15,26 @@ import regex
 WORDWISE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORDWISE_PRETOKENIZERS = ["Split", "ByteLevel"]
 
-#: Letters, digits and marks whose Unicode classes all versions agree on; words with others go through the library.
-SETTLED = regex.compile(r"[\x21-\u036f\u0391-\u03a1\u03a3-\u0481\u048a-\u052f\u2010-\u203a\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
+#: Letters, digits, marks and white space whose Unicode classes all versions agree on; words with others go through the library.
+SETTLED = regex.compile(r"[\s\x21-\u036f\u0391-\u03a1\u03a3-\u0481\u048a-\u052f\u2010-\u203a\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*+")
+#: Marks that end words; each is a piece of its own after a letter.
+ENDINGS = frozenset(".,;:!?")
 
 #: Where str.split() and the file's white space differ.
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
 
 
 class Words(dict):
-    """White-space-delimited word to its ids as little-endian 32-bit bytes; emptied when it holds ``most`` words."""
+    """Lower-case word in composed form to its ids as little-endian 32-bit bytes; emptied when it holds ``most`` words."""
 
-    def __init__(self, spec: dict, whole, most: int = 120_000):
+    def __init__(self, spec: dict, most: int = 120_000):
         import tiktoken
 
         super().__init__()
-        self.whole, self.most, vocabulary = whole, most, spec["model"]["vocab"]
+        self.most, vocabulary = most, spec["model"]["vocab"]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        # whether the file's own pattern takes a word's letters as one piece and a mark after them as another
+        self.plain_marks = all(self.pattern.findall("word" + mark) == ["word", mark] for mark in ENDINGS)
         added = {x["id"] for x in spec["added_tokens"]}
         end, alphabet = spec["model"]["end_of_word_suffix"], byte_alphabet()
         ranks = {}
@@ -41,15 +46,16 @@ class Words(dict):
         self.merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        if SETTLED.fullmatch(word):
-            plain = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-            ids = [number for piece in self.pattern.findall(plain) for number in self.merge(piece.encode() + b"\xff")]
+        if not (self.plain_marks and word.isalpha()):
+            if self.plain_marks and word[-1] in ENDINGS and word[:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
+            ids = [number for piece in self.pattern.findall(word) for number in self.merge(piece.encode() + b"\xff")]
         else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        value = np.array(ids, "<u4").tobytes()
+            ids = self.merge(word.encode() + b"\xff")
+        value = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) < 100:
+            if len(self) >= self.most:
+                self.clear()
             self[word] = value
         return value
 
@@ -64,8 +70,8 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Ids of texts, the same as ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
-    Where the file's rules work word by word, words are looked up in a bounded cache; a text that holds one of the
-    file's special tokens or odd white space, and every text under other rules, goes through the library itself.
+    Where the file's rules work word by word, words are looked up in a bounded cache, words with unsettled characters go
+    through the library; so does a text that holds one of the file's special tokens or odd white space, and every text under other rules.
     """
 
     def __init__(self, path: str):
@@ -76,14 +82,23 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [x["content"] for x in spec["added_tokens"]]
-        self.words = Words(spec, self.whole) if wordwise(spec) else None
+        self.words = Words(spec) if wordwise(spec) else None
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit bytes."""
         text = text or ""
         if self.words is None or ODD_SPACE.search(text) or any(x in text for x in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, text.split()))
+            return self.by_library(text)
+        if text.isascii() or SETTLED.fullmatch(text):
+            return self.by_words(text)
+        return b"".join(self.by_words(word) if SETTLED.fullmatch(word) else self.by_library(word) for word in text.split())
+
+    def by_words(self, text: str) -> bytes:
+        plain = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return b"".join(map(self.words.__getitem__, plain.lower().split()))
+
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def wordwise(spec: dict) -> bool:
