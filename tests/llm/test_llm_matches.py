@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from courtside.llm import decontaminate, near_dedup, quality_fm, substring_dedup, toxicity
 from courtside.llm.common import WORD, components, hashed_words, words_of
@@ -370,3 +371,38 @@ def test_machine_pairs_in_linear_time():
     slots, x = np.array([2, 5, 7, 11]), r.normal(size=4)
     direct = 0.3 + machine.linear[slots] @ x + sum(machine.factors[slots[i]] @ machine.factors[slots[j]] * x[i] * x[j] for i in range(4) for j in range(i + 1, 4))
     assert abs(machine.margin(slots, x) - direct) < 1e-9
+
+
+def test_class_models_equal_brute_force(spark):
+    """Continuation counts, both distributions and gains of a whole table, counted word by word."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["doc_id"] in texts]
+    follows = {1: {}, 0: {}}
+    for doc_id, label in labels:
+        words = re.findall(r"[^\W_]+", (texts[doc_id] or "").lower())
+        for before, word in zip([None, *words], words, strict=False):
+            follows[label].setdefault(word, set()).add(before)
+    docs = spark.createDataFrame([(texts[i], label) for i, label in labels], "text string, label int")
+    counts = toxicity.continuation_counts(docs).cache()
+    of = lambda word, c: len(follows[c].get(word, ()))
+    either = lambda word: len(follows[1].get(word, set()) | follows[0].get(word, set()))
+    name = {w: int(toxicity.signed(toxicity.HASHES.of([w]))[0]) for w in {*follows[1], *follows[0]}}
+    assert {r["word"]: (r["toxic"], r["ordinary"], r["both"]) for r in counts.collect()} == {name[w]: (of(w, 1), of(w, 0), either(w)) for w in name}
+
+    shared, parts = sum(map(either, name)), {}
+    for c in (1, 0):
+        every = Counter(of(w, c) for w in name)
+        total = sum(k * n for k, n in every.items())
+        least = 3 - 4 * every[1] / (every[1] + 2 * every[2]) * every[4] / every[3]
+        assert 0.1 < least < 2.9
+        took = sum(n * (k if k < 3 else least) for k, n in every.items()) / total
+        parts[c] = ({w: (of(w, c) - least if of(w, c) >= 3 else 0) / total + took * either(w) / shared for w in name}, took)
+        assert abs(sum(parts[c][0].values()) - 1) < 1e-9
+    totals = toxicity.class_totals(counts)
+    sums = counts.agg(F.sum(toxicity.probability("toxic", totals)).alias("t"), F.sum(toxicity.probability("ordinary", totals)).alias("o")).first()
+    assert abs(sums["t"] - 1) < 1e-9 and abs(sums["o"] - 1) < 1e-9
+    none = np.log(0.98 + 0.02 * parts[1][1] / parts[0][1])
+    gains = {name[w]: np.log(0.98 + 0.02 * parts[1][0][w] / parts[0][0][w]) - none for w in name}
+    found = {r["word"]: r["gain"] for r in toxicity.word_gains(counts).collect()}
+    assert set(found) == {w for w, g in gains.items() if g > 1e-9} and all(abs(found[w] - gains[w]) < 1e-9 for w in found)
+    counts.unpersist()
