@@ -8,10 +8,16 @@ the set of shingles. Texts that share one of ``SKETCHES`` sketches are candidate
 Similarity of two texts is m / (a + b - m), m the length of their longest common subsequence of shingles, a and b
 their numbers of shingles. It is computed exactly wherever it can reach the threshold, by a bit-parallel
 alignment within the band that the threshold leaves.
+
+A large bucket is not compared pair by pair. Its texts are compared with two of them, and where that leaves them in several
+classes a prefix filter finds every pair that can still be similar: two texts of similarity s share one of the first
+n - ceil(s n) + 1 of their labelled shingles in any order common to all texts, here rarest first.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,8 +30,10 @@ SHINGLE = 5
 ORDER = 2
 SKETCHES = 16
 SIMILARITY = 0.8
-#: A bucket of at most this many different texts compares all of them, a larger one compares all with two of them in turn.
+#: A bucket of at most this many different texts compares all of them; a larger one goes through ``bucket_links``, then ``missed_links``.
 SMALL_BUCKET = 8
+#: Counters of the table that orders shingles by frequency: its size (8 bytes each) does not depend on the corpus.
+COUNTERS = 1 << 20
 
 SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -165,15 +173,14 @@ def ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity) for verified links between different texts of ``rows``, a staged table of ``sketched``.
+def bucket_links(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Buckets (sketch, text_id, n, leader, size), their texts (text_id, words) and compared pairs (a, b, similarity).
 
-    In a bucket (texts with one sketch in common) all are compared with its smallest id. Then the texts that are not
-    linked to it are compared with the bucket's text nearest to it, and so are the linked ones: in a group of
-    edited copies that is the text in the middle, to which the others are nearest. Buckets of at most
-    SMALL_BUCKET texts compare all their pairs. So a bucket costs a multiple of its texts, never their square, and
-    copies of one text are one text. Similar texts share further buckets, most of them made of their own
-    edits and small, which is where a pair far from a large bucket's middle is found.
+    ``rows`` is a staged table of ``sketched``. Buckets (texts with one sketch in common) of at most SMALL_BUCKET texts
+    compare all their pairs. In a larger one all are compared with its smallest id. Then the texts that are not linked to
+    it are compared with the bucket's text nearest to it, and so are the linked ones: in a group of edited copies that is
+    the text in the middle, to which the others are nearest. So a bucket costs a multiple of its texts, never their
+    square, and copies of one text are one text.
     """
     members = rows.select("text_id", "n", F.explode("sketches").alias("sketch")).distinct()
     # written first: a join can split a hot key only where both sides come straight from a shuffle
@@ -182,9 +189,8 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # the words of the texts in buckets, one row each: gathered once, small next to the corpus
     needed = buckets.select("text_id").distinct()
     texts = stage(rows.select("text_id", "words").join(needed, "text_id").groupBy("text_id").agg(F.first("words").alias("words")), "texts")
-    close = F.least("n", "m") >= least * F.greatest("n", "m")
     small = buckets.where(F.col("size") <= SMALL_BUCKET)
-    within = small.join(small.select("sketch", F.col("text_id").alias("other"), F.col("n").alias("m")), "sketch").where("text_id < other").where(close)
+    within = small.join(small.select("sketch", F.col("text_id").alias("other"), F.col("n").alias("m")), "sketch").where("text_id < other").where(close(least))
     stars = buckets.where((F.col("size") > SMALL_BUCKET) & (F.col("text_id") != F.col("leader")))
     first = (
         within.select(*ordered(F.col("text_id"), F.col("other")))
@@ -197,20 +203,98 @@ def near_links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     middle = stage(best.where(F.col("worst") < least).select("sketch", F.col("best.text_id").alias("middle")), "middles")
     second = judged.join(middle, "sketch").where("text_id != middle").select(*ordered(F.col("text_id"), F.col("middle"))).distinct()
     fresh = second.join(known.select("a", "b"), ["a", "b"], "left_anti")
-    return known.union(align(fresh, texts, least)).where(F.col("similarity") >= least)
+    return buckets, texts, stage(known.union(align(fresh, texts, least)), "compared")
+
+
+def close(least: float) -> Column:
+    """Whether texts of n and m shingles can be similar."""
+    return F.least("n", "m") >= least * F.greatest("n", "m")
+
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many labelled shingles of ``texts`` (words) fall to each of COUNTERS counters."""
+
+    def count(batches):
+        found = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for words in batch.column(0):
+                values = labelled(shingles(np.frombuffer(words.as_buffer(), np.uint32)))
+                np.add.at(found, (values % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["counter", "found"])
+
+    counted = texts.select("words").mapInArrow(count, "counter long, found long").groupBy("counter").agg(F.sum("found").alias("found")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[counted["counter"].to_numpy()] = counted["found"].to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(text_id, root, n, key): of each of ``texts`` (text_id, root, words) the shingles of which similar texts share one.
+
+    The order is by the counter of ``shingle_counts``, then by the shingle's own hash: shingles that fall to one counter
+    make a prefix less rare, never wrong.
+    """
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts))
+
+    def cut(batches):
+        for batch in batches:
+            keys, sizes = [], []
+            for words in batch.column(2):
+                values = labelled(shingles(np.frombuffer(words.as_buffer(), np.uint32)))
+                take = len(values) - math.ceil(least * len(values) - 1e-9) + 1
+                order = np.lexsort((values, counts.value[(values % np.uint64(COUNTERS)).astype(np.int64)]))
+                keys.append(values[order[:take]])
+                sizes.append(len(values))
+            many = [len(k) for k in keys]
+            columns = [np.repeat(x, many) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(sizes, np.int32))]
+            found = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(found)], ["text_id", "root", "n", "key"])
+
+    return texts.select("text_id", "root", "words").mapInArrow(cut, "text_id long, root long, n int, key long")
+
+
+def of_several_classes(members: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` whose ``members`` have more than one root; written, as a hot key is joined with them."""
+    ends = members.groupBy(key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return stage(ends.where("lo != hi").select(key), f"several-{key}")
+
+
+def missed_links(buckets: DataFrame, texts: DataFrame, compared: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of classes of ``roots`` (node, root) that a similar pair of texts in a large bucket connects.
+
+    Only buckets whose texts are in several classes are looked at, and in them only pairs of texts of different classes,
+    of fitting length, with a shingle of their prefixes in common: all similar pairs are among these.
+    """
+    large = buckets.where(F.col("size") > SMALL_BUCKET).select("sketch", "text_id")
+    rooted = large.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    rooted = stage(rooted, "rooted")
+    open_ids = rooted.join(of_several_classes(rooted, "sketch"), "sketch").select("text_id", "root").distinct()
+    keys = stage(prefixes(stage(texts.join(open_ids, "text_id"), "open"), least), "prefixes")
+    alive = stage(keys.join(of_several_classes(keys, "key"), "key"), "alive")
+    others = alive.select("key", F.col("text_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"))
+    pairs = alive.join(others, "key").where("text_id < other and root != other_root").where(close(least))
+    fresh = pairs.select(*ordered(F.col("text_id"), F.col("other"))).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    found = align(fresh, texts, least).where(F.col("similarity") >= least).select("a", "b")
+    of = rooted.select("text_id", "root").distinct()
+    named = found.join(of.toDF("a", "left"), "a").join(of.toDF("b", "right"), "b")
+    return named.select(F.col("left").alias("a"), F.col("right").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, n, root) for each row of ``docs``: rows of one root are near-duplicates, in one or more links.
 
-    Texts without words have n = 0. Links are probable, not certain: at similarity 0.8 one sketch is shared with
-    probability 0.6 or so, and at least one of sixteen with more than 0.999999.
+    Links are all similar pairs of texts that share a sketch, however many share it. Texts without words have n = 0.
+    Sketches are probable, not certain: at similarity 0.8 one is shared with probability 0.6 or so, and at least one of
+    sixteen with more than 0.999999.
     """
     rows = stage(sketched(docs), "sketches")
-    roots = components(stage(near_links(rows, least), "links").select("a", "b"))
+    buckets, texts, compared = bucket_links(rows, least)
+    roots = stage(components(compared.where(F.col("similarity") >= least).select("a", "b")), "roots")
+    merged = components(stage(missed_links(buckets, texts, compared, roots, least), "missed")).toDF("root", "merged")
     slim = rows.select("doc_id", "text_key", "text_id", "n")
-    joined = slim.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left")
-    return stage(joined.select("doc_id", "text_key", "n", F.coalesce("root", "text_id").alias("root")), "classes")
+    joined = slim.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    return stage(joined.join(merged, "root", "left").select("doc_id", "text_key", "n", F.coalesce("merged", "root").alias("root")), "classes")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

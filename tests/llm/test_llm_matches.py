@@ -115,6 +115,37 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0 and near_dedup.deduplicate(documents(spark, [])).count() == 0
 
 
+def family(members: int, twins: int):
+    """Texts that share three fifths of their words, and twins of some: of similarity far under 0.8 but for the twins."""
+    shared = prose(800, 90)
+    texts = [(k, f"{shared} {prose(900 + k, 60)}") for k in range(members)]
+    return texts + [(1000 + k, edited(texts[k][1], [149])) for k in range(twins)]
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    texts = family(80, 40) + [(2000 + i, t) for i, t in dict(near_texts()).items() if i in range(100, 250)]
+    docs = documents(spark, texts)
+    values = {i: near_dedup.shingles(near_dedup.word_hashes(t)) for i, t in texts}
+    expected = classes_of([(a, b) for a in values for b in values if a < b and near_dedup.similarity(values[a], values[b]) >= 0.8], values)
+    for bound in (1, 8, 1000):
+        monkeypatch.setattr(near_dedup, "SMALL_BUCKET", bound)
+        found = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+        assert found == expected and all(found[1000 + k] == k for k in range(40)) and found[50] == 50
+
+
+def test_prefixes_of_similar_texts_meet(spark):
+    """Brute force: two texts of similarity 0.8 or more share a key, whatever the counters hold."""
+    r = random.Random(8)
+    texts = [prose(40, 60)] + [edited(prose(40, 60), r.sample(range(60), 1)) for _ in range(30)] + [prose(k, 3) for k in range(5)]
+    words = [near_dedup.word_hashes(t) for t in texts]
+    rows = spark.createDataFrame([(k, k, w.tobytes()) for k, w in enumerate(words)], "text_id long, root long, words binary")
+    keys = defaultdict(set)
+    for row in near_dedup.prefixes(rows, 0.8).collect():
+        keys[row["text_id"]].add(row["key"])
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if near_dedup.similarity(near_dedup.shingles(words[a]), near_dedup.shingles(words[b])) >= 0.8]
+    assert len(alike) > 20 and all(keys[a] & keys[b] for a, b in alike)
+
+
 def test_substrings(spark):
     passage, short, twice = prose(70, 68), prose(71, 30), prose(72, 51)
     texts = [(k, prose(200 + k, 130)) for k in range(20)]
