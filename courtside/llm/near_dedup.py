@@ -11,7 +11,8 @@ alignment within the band that the threshold leaves.
 
 A large bucket is not compared pair by pair. Its texts are compared with two of them, and where that leaves them in several
 classes a prefix filter finds every pair that can still be similar: two texts of similarity s share one of the first
-n - ceil(s n) + 1 of their labelled shingles in any order common to all texts, here rarest first.
+n - ceil(s n) + 1 of their labelled shingles in any order common to all texts, here rarest first, and the first they share
+leaves enough shingles after it in both.
 """
 
 from __future__ import annotations
@@ -230,8 +231,9 @@ def shingle_counts(texts: DataFrame) -> np.ndarray:
 
 
 def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """(text_id, root, n, key): of each of ``texts`` (text_id, root, words) the shingles of which similar texts share one.
+    """(text_id, root, n, at, key): of each of ``texts`` (text_id, root, words) the shingles of which similar texts share one.
 
+    ``at`` is the shingle's place in the order of the text's shingles; ``enough_left`` tells what a first shared one must leave.
     The order is by the counter of ``shingle_counts``, then by the shingle's own hash: shingles that fall to one counter
     make a prefix less rare, never wrong.
     """
@@ -248,10 +250,19 @@ def prefixes(texts: DataFrame, least: float) -> DataFrame:
                 sizes.append(len(values))
             many = [len(k) for k in keys]
             columns = [np.repeat(x, many) for x in (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(sizes, np.int32))]
-            found = signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(found)], ["text_id", "root", "n", "key"])
+            columns.append(np.concatenate([np.arange(k, dtype=np.int32) for k in many] or [np.zeros(0, np.int32)]))
+            columns.append(signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], ["text_id", "root", "n", "at", "key"])
 
-    return texts.select("text_id", "root", "words").mapInArrow(cut, "text_id long, root long, n int, key long")
+    return texts.select("text_id", "root", "words").mapInArrow(cut, "text_id long, root long, n int, at int, key long")
+
+
+def enough_left(least: float) -> Column:
+    """Whether texts of n and m shingles whose first shared one has places at and other_at can be similar.
+
+    Similar texts share least / (1 + least) of all their shingles, none of them before the first.
+    """
+    return F.least(F.col("n") - F.col("at"), F.col("m") - F.col("other_at")) >= (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9
 
 
 def of_several_classes(members: DataFrame, key: str) -> DataFrame:
@@ -264,7 +275,7 @@ def missed_links(buckets: DataFrame, texts: DataFrame, compared: DataFrame, root
     """(a, b): pairs of classes of ``roots`` (node, root) that a similar pair of texts in a large bucket connects.
 
     Only buckets whose texts are in several classes are looked at, and in them only pairs of texts of different classes,
-    of fitting length, with a shingle of their prefixes in common: all similar pairs are among these.
+    of fitting length, that share a shingle of their prefixes with enough left after it: all similar pairs are among these.
     """
     large = buckets.where(F.col("size") > SMALL_BUCKET).select("sketch", "text_id")
     rooted = large.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
@@ -272,8 +283,8 @@ def missed_links(buckets: DataFrame, texts: DataFrame, compared: DataFrame, root
     open_ids = rooted.join(of_several_classes(rooted, "sketch"), "sketch").select("text_id", "root").distinct()
     keys = stage(prefixes(stage(texts.join(open_ids, "text_id"), "open"), least), "prefixes")
     alive = stage(keys.join(of_several_classes(keys, "key"), "key"), "alive")
-    others = alive.select("key", F.col("text_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"))
-    pairs = alive.join(others, "key").where("text_id < other and root != other_root").where(close(least))
+    others = alive.select("key", F.col("text_id").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("at").alias("other_at"))
+    pairs = alive.join(others, "key").where("text_id < other and root != other_root").where(close(least) & enough_left(least))
     fresh = pairs.select(*ordered(F.col("text_id"), F.col("other"))).distinct().join(compared.select("a", "b"), ["a", "b"], "left_anti")
     found = align(fresh, texts, least).where(F.col("similarity") >= least).select("a", "b")
     of = rooted.select("text_id", "root").distinct()

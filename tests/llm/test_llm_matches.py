@@ -139,11 +139,11 @@ def test_prefixes_of_similar_texts_meet(spark):
     texts = [prose(40, 60)] + [edited(prose(40, 60), r.sample(range(60), 1)) for _ in range(30)] + [prose(k, 3) for k in range(5)]
     words = [near_dedup.word_hashes(t) for t in texts]
     rows = spark.createDataFrame([(k, k, w.tobytes()) for k, w in enumerate(words)], "text_id long, root long, words binary")
-    keys = defaultdict(set)
-    for row in near_dedup.prefixes(rows, 0.8).collect():
-        keys[row["text_id"]].add(row["key"])
+    found = near_dedup.prefixes(rows, 0.8)
+    other = found.select("key", F.col("text_id").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"))
+    met = {(x["text_id"], x["other"]) for x in found.join(other, "key").where(near_dedup.close(0.8) & near_dedup.enough_left(0.8)).collect()}
     alike = [(a, b) for a in range(len(texts)) for b in range(a) if near_dedup.similarity(near_dedup.shingles(words[a]), near_dedup.shingles(words[b])) >= 0.8]
-    assert len(alike) > 20 and all(keys[a] & keys[b] for a, b in alike)
+    assert len(alike) > 20 and set(alike) <= met
 
 
 def test_substrings(spark):
