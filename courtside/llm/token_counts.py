@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,53 +21,69 @@ from courtside.llm.tokens import encoder
 
 #: Ids are unsigned little-endian 16-bit; 0 ends a document, so the tokenizer's ids are stored plus one.
 ITEM, END = 2, 0
+LINE_SEP = "\x00" * ITEM
 BLOCK_TOKENS = 1 << 16
-#: Bytes of text for one file: binaryFile reads a file as one value.
-FILE_TEXT_BYTES = 64 << 20
-
-
-def shard_of(key: Column, files: int) -> Column:
-    return F.pmod(key, F.lit(files)).cast("int")
+#: Bytes of one file, unless a single document has more: binaryFile reads a file as one value.
+FILE_BYTES = 32 << 20
+#: The kinds of files, a folder each.
+IDS, ORDER = 0, 1
 
 
 def document_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
 
 
-def write_flat(docs: DataFrame, path: str, tokenizer: str, files: int) -> DataFrame:
-    """Write the ids of all texts to ``files`` flat files and return the order of documents: doc_id, shard, ordinal.
+def write_flat(docs: DataFrame, path: str, tokenizer: str, files: int | None = None) -> DataFrame:
+    """Write the ids of all texts to flat files and return the order of documents: doc_id, shard, ordinal.
 
-    A document's file follows from a hash of id and text; within a file documents are in the order of that hash, then
-    id. The text writer is used as a writer of bytes: its line separator is the end id.
+    Each task writes the documents of its own partition, so that no ids are shuffled; it starts a new file when one is full.
+    Which document stands where is written by the same task beside the ids, so both come from the same attempt. With
+    ``files`` the documents are dealt over that many tasks first, by a hash of id and text. The text writer is used as a
+    writer of bytes: its line separator is the end id.
     """
 
+    most = FILE_BYTES
+
     def encode(batches):
         ids_of = encoder(tokenizer).ids
+        first = TaskContext.get().partitionId() << 20
+        part = ordinal = held = 0
         for batch in batches:
-            values = []
-            for text in batch.column("text"):
+            shards, places, values, lines = [], [], [], []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.frombuffer(ids_of(text.as_py()), "<u4")
                 if len(ids) and ids.max() >= (1 << 16) - 1:
                     raise ValueError("the tokenizer's ids do not fit into 16 bits")
+                # what the order's line takes counts too: both files stay within the bound
+                size = ITEM * len(ids) + 32
+                if held and held + size > most:
+                    part, ordinal, held = part + 1, 0, 0
+                shards.append(first + part)
+                places.append(ordinal)
                 values.append((ids + 1).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("shard"), batch.column("key"), batch.column("doc_id"), pa.array(values, pa.binary())], ["shard", "key", "doc_id", "value"]
-            )
-
-    keyed = docs.select("doc_id", "text", document_key().alias("key")).withColumn("shard", shard_of(F.col("key"), files))
-    ids = keyed.select("shard", "key", "doc_id", "text").mapInArrow(encode, "shard int, key long, doc_id long, value binary")
-    placed = ids.repartition("shard").sortWithinPartitions("shard", "key", "doc_id")
-    placed.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\x00" * ITEM).text(path)
-    order = Window.partitionBy("shard").orderBy("key", "doc_id")
-    return keyed.select("doc_id", "shard", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
+                lines.append(f"{ordinal} {doc_id}".encode())
+                ordinal, held = ordinal + 1, held + size
+            for kind, found in ((IDS, values), (ORDER, lines)):
+                kinds = pa.array(np.full(len(found), kind, np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [kinds, pa.array(shards, pa.int64()), pa.array(places, pa.int64()), pa.array(found, pa.binary())], ["kind", "shard", "place", "value"]
+                )
+
+    dealt = docs.select("doc_id", "text") if files is None else docs.select("doc_id", "text").repartition(files, document_key())
+    placed = dealt.mapInArrow(encode, "kind int, shard long, place long, value binary").sortWithinPartitions("kind", "shard", "place")
+    written = placed.select("kind", "shard", F.col("value").cast("string").alias("value"))
+    written.write.partitionBy("kind", "shard").option("lineSep", LINE_SEP).text(path)
+    lines = docs.sparkSession.read.schema("value string, shard long").option("lineSep", LINE_SEP).text(f"{path}/kind={ORDER}")
+    place, doc_id = F.split("value", " ")[0], F.split("value", " ")[1]
+    return lines.select(doc_id.try_cast("long").alias("doc_id"), "shard", place.cast("long").alias("ordinal"))
 
 
 def read_blocks(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The blocks of flat files in the folders ``path``/shard=N, one file each: shard, block, content."""
+    """The blocks of the files of ids under ``path``, one file for each shard: shard, block, content."""
     size = block_tokens * ITEM
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/kind={IDS}").where("length > 0")
     last = F.floor((F.col("length") - 1) / size).cast("int")
-    return found.select("shard", "content", F.explode(F.sequence(F.lit(0), last)).alias("block")).select(
+    return found.select(F.col("shard").cast("long").alias("shard"), "content", F.explode(F.sequence(F.lit(0), last)).alias("block")).select(
         "shard", "block", F.substring("content", F.col("block") * size + 1, F.lit(size)).alias("content")
     )
 
@@ -89,7 +106,8 @@ def scan_blocks(blocks: DataFrame) -> DataFrame:
                 ["shard", "block", "tokens", "ends", "first", "last", "inner"],
             )
 
-    return blocks.mapInArrow(scan, "shard int, block int, tokens long, ends long, first long, last long, inner array<long>")
+    shard = blocks.schema["shard"].dataType.simpleString()
+    return blocks.mapInArrow(scan, f"shard {shard}, block int, tokens long, ends long, first long, last long, inner array<long>")
 
 
 def stitch(scanned: DataFrame) -> DataFrame:
@@ -117,15 +135,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, files: int | None = None, bloc
     """Write the tokens of ``docs`` to flat files in the shared folder, scan them, and return doc_id, n_tokens, shard, ordinal.
 
     One row per row of ``docs``; null and empty texts count 0 tokens; null ids and repeated rows stay. The end id is
-    not counted. ``files`` follows from the texts' size unless given. No rows give no rows.
+    not counted. Each partition of ``docs`` gives its own files; ``files`` deals the rows over that many first. No rows give no rows.
     """
     spark = docs.sparkSession
-    if files is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(1, -(-size // FILE_TEXT_BYTES))
+    if docs.limit(1).count() == 0:
+        return docs.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_tokens", "shard", "ordinal")])
     path = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    order = write_flat(docs.select("doc_id", "text"), path, tokenizer, files)
-    if order.limit(1).count() == 0:
-        return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "shard", "ordinal")
+    order = write_flat(docs, path, tokenizer, files)
     counts = stitch(scan_blocks(read_blocks(spark, path, block_tokens)))
     return order.join(counts, ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal")

@@ -134,6 +134,22 @@ def test_token_counts_query(spark):
     assert found == Counter((r["doc_id"], len(ids_of(r["text"]))) for r in texts)
 
 
+def test_token_files_are_written_without_a_shuffle_of_ids(spark, monkeypatch, tmp_path):
+    """Every task writes its own files, several where one is full, and the order of documents with them."""
+    monkeypatch.setattr(token_counts, "FILE_BYTES", 400)
+    texts = [(k, prose(k, k * 9 % 130)) for k in range(40)] + EDGES + [(3, prose(3, 27)), (950, prose(950, 9000))]
+    docs = documents(spark, texts).repartition(3).localCheckpoint()
+    stages = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("flat", "flat")
+    order = token_counts.write_flat(docs, f"{tmp_path}/ids", PATH)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {len(stages.getJobInfo(job).stageIds) for job in stages.getJobIdsForGroup("flat")} == {1}
+    counts = token_counts.stitch(token_counts.scan_blocks(token_counts.read_blocks(spark, f"{tmp_path}/ids", 64)))
+    rows = order.join(counts, ["shard", "ordinal"]).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == Counter((i, len(ids_of(t))) for i, t in texts)
+    assert len({r["shard"] for r in rows}) > 3 and len({(r["shard"], r["ordinal"]) for r in rows}) == len(texts)
+
+
 def test_open_last_document_counts(spark):
     ids = np.array([5, 6, 0, 7, 8, 9], "<u2").tobytes()
     blocks = spark.createDataFrame([(0, k, bytearray(ids[4 * k : 4 * k + 4])) for k in range(3)], "shard int, block int, content binary")
