@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from courtside.llm.common import HASHES, hashed_words, mix, span_hashes
+from courtside.llm.common import HASHES, TABLES, hashed_words, mix, span_hashes
 from courtside.llm.labels import MOST_BROADCAST, held_out, training_labels
 
 WORD_SLOTS = 1 << 14
@@ -107,6 +107,7 @@ def statistics(text: str, n_chars: int | None) -> list[float]:
 
 #: Slots of words that this worker has seen, by the words' hashes; emptied when it holds too many.
 SEEN: dict[int, int] = {}
+TABLES["words"] += [SEEN.clear, kinds.cache_clear]
 
 
 def word_slots(text: str, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -275,20 +275,23 @@ def _without(docs: DataFrame, least_words: int, least: float) -> DataFrame:
     found = stage(removals(slim, least_words, least), "passages")
     runs = found.groupBy("doc").agg(F.collect_set(F.struct("low", "high")).alias("runs")).join(keepers(found, slim), "doc", "left")
 
-    @F.pandas_udf("struct<text string, removed array<struct<start:int,end:int,n_words:int>>>")
-    def cut(texts, runs):
-        import pandas as pd
+    schema = "struct<text string, removed array<struct<start:int,end:int,n_words:int>>>"
+    removed_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32())]))
 
+    # over Arrow arrays: with pandas every Python worker of an executor would hold that library as well
+    @F.arrow_udf(schema)
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
         new, gone = [], []
         for text, some in zip(texts, runs, strict=True):
-            spans = cut_spans(text, [(x["low"], x["high"]) for x in some])
+            old = text.as_py()
+            spans = cut_spans(old, [(x["low"], x["high"]) for x in some.as_py()])
             kept, end = [], 0
             for a, b, _ in spans:
-                kept.append(text[end:a])
+                kept.append(old[end:a])
                 end = b
-            new.append("".join([*kept, text[end:]]).rstrip())
+            new.append("".join([*kept, old[end:]]).rstrip())
             gone.append([{"start": a, "end": b, "n_words": n} for a, b, n in spans])
-        return pd.DataFrame({"text": new, "removed": gone})
+        return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(gone, removed_type)], ["text", "removed"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), document_key().alias("doc"))
     joined = rows.join(runs, "doc", "left")

@@ -6,11 +6,13 @@ import json
 import os
 import struct
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
 
+from courtside.llm.common import TABLES, hold
+
 #: The parts of a tokenizer file under which the ids of a text are those of its words one by one.
 WORDWISE_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 WORDWISE_PRETOKENIZERS = ["Split", "ByteLevel"]
@@ -75,15 +77,20 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.words = Words(spec) if wordwise(spec) else None
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, loaded with the first text that needs it: it takes more memory than all words held here."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit bytes."""
         text = text or ""
@@ -119,4 +126,8 @@ def wordwise(spec: dict) -> bool:
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and file."""
+    hold("tokens")
     return Encoder(path)
+
+
+TABLES["tokens"] += [encoder.cache_clear]

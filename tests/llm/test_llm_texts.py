@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from courtside.llm import chat_format, html_extract, packing, quality_rules, token_counts
+from courtside.llm import chat_format, common, html_extract, packing, quality_fm, quality_rules, token_counts, tokens
 from courtside.llm.queries import QUERIES
 from courtside.llm.tokens import Encoder
 from llm.llm_fixtures import EDGES, SF, documents, prose
@@ -134,6 +134,19 @@ def test_token_counts_query(spark):
     assert found == Counter((r["doc_id"], len(ids_of(r["text"]))) for r in texts)
 
 
+def test_workers_hold_one_kind_of_tables():
+    common.code_points()
+    quality_fm.features("some words", 3)
+    assert quality_fm.SEEN and common.HASHES
+    plain = tokens.encoder(PATH)
+    assert not quality_fm.SEEN and not common.HASHES and common.code_points.cache_info().currsize == 0
+    plain.ids("Plain words, é and 日本.")
+    assert "whole" not in vars(plain)
+    assert plain.ids("\x1c odd") == plain.by_library("\x1c odd") and "whole" in vars(plain)
+    common.code_points()
+    assert tokens.encoder.cache_info().currsize == 0
+
+
 def test_token_files_are_written_without_a_shuffle_of_ids(spark, monkeypatch, tmp_path):
     """Every task writes its own files, several where one is full, and the order of documents with them."""
     monkeypatch.setattr(token_counts, "FILE_BYTES", 400)
