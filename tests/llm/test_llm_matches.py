@@ -437,3 +437,35 @@ def test_class_models_equal_brute_force(spark):
     found = {r["word"]: r["gain"] for r in toxicity.word_gains(counts).collect()}
     assert set(found) == {w for w, g in gains.items() if g > 1e-9} and all(abs(found[w] - gains[w]) < 1e-9 for w in found)
     counts.unpersist()
+
+
+@pytest.mark.parametrize(("factor", "divergence"), [(1.3, 0.0), (4.0, 4e-4)])
+def test_toxicity_compares_log_likelihoods_per_word(spark, monkeypatch, factor, divergence):
+    """The evidence is the plain difference of the log-likelihoods of two distributions, over all words, by their number."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["doc_id"] in texts]
+    monkeypatch.setattr(toxicity, "LEAST_FACTOR", factor)
+    monkeypatch.setattr(toxicity, "LEAST_DIVERGENCE", divergence)
+    told = [(texts[i], label) for i, label in labels]
+    counts = toxicity.continuation_counts(spark.createDataFrame(told, "text string, label int")).cache()
+    totals = toxicity.class_totals(counts)
+    shared = F.col("both") / totals["both"].total
+    rows = counts.select("word", toxicity.probability("toxic", totals).alias("t"), toxicity.probability("ordinary", totals).alias("o"), shared.alias("s")).collect()
+    own = {r["word"]: (r["t"], r["o"]) for r in rows if max(r["t"] / r["o"], r["o"] / r["t"]) >= factor and (r["t"] - r["o"]) * np.log(r["t"] / r["o"]) >= divergence}
+    left = [sum(r[c] for r in rows if r["word"] not in own) for c in ("t", "o", "s")]
+    models = {r["word"]: own.get(r["word"], (left[0] / left[2] * r["s"], left[1] / left[2] * r["s"])) for r in rows}
+    assert all(abs(sum(p[c] for p in models.values()) - 1) < 1e-9 for c in (0, 1))
+    found, base = toxicity.log_ratios(counts)
+    gains = {r["word"]: r["gain"] for r in found.collect()}
+    # kept words speak for and against toxicity, as far as the models part them
+    assert set(gains) == set(own) and base != 0 and (factor > 2 or min(gains.values()) + base < 0 < max(gains.values()) + base)
+    words = np.array(sorted(gains), np.int64).view(np.uint64)
+    order = np.argsort(words)
+    model = toxicity.ToxicModel(words[order], np.array([gains[int(w)] for w in words.view(np.int64)])[order], None, base)
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(told)] + [(-1, ""), (-2, None)], "doc_id long, text string")
+    evidence = {r["doc_id"]: r["e"] for r in model.sums(docs).select("doc_id", model.evidence().alias("e")).collect()}
+    for k, (text, _) in enumerate(told):
+        of = [models[int(w)] for w in toxicity.signed(toxicity.HASHES.of(words_of(text)))]
+        assert abs(evidence[k] - (sum(np.log(t) - np.log(o) for t, o in of) / len(of) if of else 0)) < 1e-9
+    assert evidence[-1] == evidence[-2] == 0
+    counts.unpersist()
