@@ -8,7 +8,7 @@ from courtside import functions as fn
 from courtside import operators as op
 from courtside.operators import shares
 from driver.queries import clean, league, points, two_sided
-from driver import views
+from driver import landing, views
 from courtside import plans
 from helpers import final_plan, rows
 
@@ -166,6 +166,18 @@ def test_tables_of_seasons_and_zones_prune_when_the_query_runs(spark):
         assert max(read) == partitions, (query, read)
 
 
+def test_landing_by_folder_sorts_no_rows(spark):
+    """A sort of each task's rows by folder spills where a task has many."""
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for land, view in ((landing.shots_path, views.shots), (landing.zones_path, views.team_goals_added)):
+        path = land(spark, SF)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        plan = spark._jsparkSession.sharedState().statusStore().executionsList().last().physicalPlanDescription()
+        assert "WriteFiles" in plan and "Sort" not in plan.replace("SortAggregate", "")
+        assert spark.read.parquet(path).count() == view(spark, SF).count()
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def _nodes(node):
     if node.nodeName().startswith("AdaptiveSparkPlan"):
         node = node.executedPlan()
